@@ -125,7 +125,7 @@ def write_parquet(spark, sf):
     return spark.read.parquet(path).select("id", "title", "year", "price", "early_access", "developer")
 
 
-LIST_SQL = "'[' || array_to_string(list_transform({0}, x -> '''' || x || ''''), ', ') || ']'"
+LIST_SQL = "'[' || array_to_string([chr(39) || x || chr(39) for x in {0}], ', ') || ']'"
 
 
 @check(

@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 from tallyshelf.functions.text import list_literal, text_literal
 from tallyshelf.plans.tables import clean_games
 from tallyshelf.schemas import LEXICON
+from tallyshelf.sources.files import spread_small
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, for work on every word."""
+    return spread_small(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 # --- catalogue -------------------------------------------------------------------------------------------
 
 
@@ -189,7 +195,7 @@ def item_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.when(key % 10 == 3, "").otherwise(entry),
         F.lit("]}"),
     )
-    cut = F.when(key % 97 == 0, F.expr("left(line, length(line) - 3)")).otherwise(F.col("line"))
+    cut = F.when(key % 97 == 0, F.expr("left(line, length(line) - 5)")).otherwise(F.col("line"))
     return table(spark, sf, "events").select("event_id", line.alias("line")).select("event_id", cut.alias("value"))
 
 
@@ -219,7 +225,7 @@ item_lines AS (
     || ', ''playtime_2weeks'': 0}' END || ']}' AS line
   FROM item_records),
 cut_lines AS (
-  SELECT event_id, whole, CASE WHEN whole THEN line ELSE left(line, length(line) - 3) END AS value FROM item_lines)"""
+  SELECT event_id, whole, CASE WHEN whole THEN line ELSE left(line, length(line) - 5) END AS value FROM item_lines)"""
 )
 
 FLAT_ITEMS = f"""{ITEM_RECORDS},
@@ -263,7 +269,7 @@ LEXICON_SQL = "lexicon(token, valence) AS (VALUES " + ", ".join(
 
 def review_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as review texts: doc_id, review, recommend (null without a label)."""
-    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("review"))
+    docs = text_table(spark, sf).withColumnRenamed("text", "review")
     labels = table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("recommend"))
     return docs.join(labels, "doc_id", "left")
 
@@ -290,7 +296,7 @@ def review_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return text_table(spark, sf).withColumnRenamed("doc_id", "id")
 
 
 def nested_lines(spark: SparkSession, sf: str) -> DataFrame:

@@ -19,22 +19,24 @@ def _quoted(words: list[str]) -> str:
 def _step(value: str, near: str, weight: float) -> str:
     """SQL of one preceding word's effect on a valence."""
     word = f"lower({near})"
-    loud = f"CASE WHEN mixed AND upper({near}) = {near} AND lower({near}) <> {near} THEN {sentiment.BOOST + sentiment.CAPITALS} ELSE {sentiment.BOOST} END"
-    push = f"CASE WHEN {word} IN ({_quoted(sentiment.INTENSIFIERS)}) THEN {loud} WHEN {word} IN ({_quoted(sentiment.DAMPENERS)}) THEN -({loud}) ELSE 0 END"
-    pushed = f"({value} + sign({value}) * ({push}) * {weight})"
-    return f"CASE WHEN {word} IN ({_quoted(sentiment.NEGATORS)}) OR contains({word}, 'n''t') THEN {pushed} * ({sentiment.NEGATION}) ELSE {pushed} END"
+    loud = f"""(CASE WHEN mixed AND upper({near}) = {near} AND lower({near}) <> {near}
+      THEN {sentiment.BOOST + sentiment.CAPITALS} ELSE {sentiment.BOOST} END * {weight})"""
+    push = f"""CASE WHEN {word} IN ({_quoted(sentiment.INTENSIFIERS)}) THEN {loud}
+      WHEN {word} IN ({_quoted(sentiment.DAMPENERS)}) THEN -{loud} ELSE 0 END"""
+    turn = f"CASE WHEN {word} IN ({_quoted(sentiment.NEGATORS)}) OR contains({word}, 'n''t') THEN {sentiment.NEGATION} ELSE 1 END"
+    return f"({value} + sign({value}) * ({push})) * ({turn})"
 
 
 POLARITY = (
     b.LEXICON_SQL
     + r""",
 pieces AS (
-  SELECT key, list_transform(list_filter(string_split_regex(text, '\s+'), p -> p <> ''),
-    p -> CASE WHEN length(regexp_replace(p, '^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$', '', 'g')) <= 2 THEN p
-      ELSE regexp_replace(p, '^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$', '', 'g') END) AS words FROM texts),
+  SELECT key, [CASE WHEN length(regexp_replace(p, '^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$', '', 'g')) <= 2 THEN p
+      ELSE regexp_replace(p, '^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$', '', 'g') END
+      for p in string_split_regex(text, '\s+') if p <> ''] AS words FROM texts),
 spoken AS (
-  SELECT key, words, coalesce(list_position(list_transform(words, w -> lower(w)), 'but'), 0) AS but_at,
-    len(list_filter(words, w -> upper(w) = w AND lower(w) <> w)) BETWEEN 1 AND len(words) - 1 AS mixed FROM pieces),
+  SELECT key, words, coalesce(list_position([lower(w) for w in words], 'but'), 0) AS but_at,
+    len([w for w in words if upper(w) = w AND lower(w) <> w]) BETWEEN 1 AND len(words) - 1 AS mixed FROM pieces),
 placed AS (
   SELECT key, words, but_at, mixed, unnest(words) AS w0, unnest(range(1, len(words) + 1)) AS spot FROM spoken),
 near AS (
@@ -60,7 +62,7 @@ polarity AS (SELECT key, round(CAST(coalesce(total, 0) AS DOUBLE), 6) + 0 AS pol
 
 @check(f"WITH texts AS (SELECT doc_id AS key, text FROM documents), {POLARITY} SELECT key AS doc_id, polarity FROM polarity")
 def lexicon_polarity(spark, sf):
-    docs = b.table(spark, sf, "documents")
+    docs = b.text_table(spark, sf)
     return sentiment.lexicon_polarity(docs, b.lexicon(spark), ["doc_id"], "text")
 
 
@@ -197,7 +199,7 @@ def word_frequency(spark, sf):
 
 @check(f"WITH {DOC_TEXTS}, {FIELD_WORDS}, {EACH_WORD} {_top_units('word')}")
 def word_frequency_documents(spark, sf):
-    return wordcounts.word_frequency(b.table(spark, sf, "documents"), ["text"], STOP)
+    return wordcounts.word_frequency(b.text_table(spark, sf), ["text"], STOP)
 
 
 @check(f"WITH {b.GAMES}, {FIELD_TEXTS}, {FIELD_WORDS}, {EACH_PAIR} {_top_units('bigram')}")
@@ -207,4 +209,4 @@ def bigram_frequency(spark, sf):
 
 @check(f"WITH {DOC_TEXTS}, {FIELD_WORDS}, {EACH_PAIR} {_top_units('bigram')}")
 def bigram_frequency_documents(spark, sf):
-    return wordcounts.bigram_frequency(b.table(spark, sf, "documents"), ["text"], STOP)
+    return wordcounts.bigram_frequency(b.text_table(spark, sf), ["text"], STOP)

@@ -50,8 +50,8 @@ def _hit(bins: DataFrame, shares: list[float]) -> DataFrame:
 def _narrow(values: DataFrame, hit: DataFrame, step: Column) -> DataFrame:
     """Splits the bins that were hit, by a key that does not decrease with the value."""
     found = hit.agg(F.collect_set(F.struct("lo", "hi", "before", "rows")).alias("found")).scalar()
-    inside = F.filter(found, lambda b: (F.col("v") >= b["lo"]) & (F.col("v") <= b["hi"]))
-    parts = values.select("v", F.explode(inside).alias("b")).groupBy("b", step.alias("key"))
+    inside = F.filter("found", lambda b: (F.col("v") >= b["lo"]) & (F.col("v") <= b["hi"]))
+    parts = values.withColumn("found", found).select("v", F.explode(inside).alias("b")).groupBy("b", step.alias("key"))
     parts = parts.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     earlier = F.sum("n").over(Window.partitionBy("b").orderBy("lo")) - F.col("n")
     return parts.select("lo", "hi", "n", "b.rows", (F.col("b.before") + earlier).alias("before"))

@@ -36,7 +36,8 @@ DAMPENERS = [
     "slightly", "somewhat", "sorta",
 ]
 
-_EDGE = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
+# Fixed value: the ASCII punctuation that is cut off words.
+PUNCTUATION = """!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
 
 
 def spoken_words(text: Column) -> Column:
@@ -44,7 +45,7 @@ def spoken_words(text: Column) -> Column:
     pieces = F.filter(F.split(text, r"\s+"), lambda piece: piece != "")
 
     def bare(piece: Column) -> Column:
-        stripped = F.regexp_replace(piece, _EDGE, "")
+        stripped = F.btrim(piece, F.lit(PUNCTUATION))
         return F.when(F.length(stripped) <= 2, piece).otherwise(stripped)
 
     return F.transform(pieces, bare)
@@ -54,13 +55,13 @@ def _shouted(word: Column) -> Column:
     return (F.upper(word) == word) & (F.lower(word) != word)
 
 
-def _after_neighbour(valence: Column, neighbour: Column, mixed: Column, weight: float) -> Column:
-    """Valence after one of the words before it, at the distance that has this weight."""
+def _neighbour_effect(neighbour: Column, mixed: Column, weight: float) -> Column:
+    """What one of the words before does: `push` away from zero, then `turn` as a factor."""
     word = F.lower(neighbour)
-    loud = F.when(mixed & _shouted(neighbour), F.lit(BOOST + CAPITALS)).otherwise(F.lit(BOOST))
+    loud = F.when(mixed & _shouted(neighbour), F.lit(BOOST + CAPITALS)).otherwise(F.lit(BOOST)) * weight
     push = F.when(word.isin(INTENSIFIERS), loud).when(word.isin(DAMPENERS), -loud).otherwise(F.lit(0.0))
-    pushed = valence + F.signum(valence) * push * weight
-    return F.when(word.isin(NEGATORS) | word.contains("n't"), pushed * NEGATION).otherwise(pushed)
+    turn = F.when(word.isin(NEGATORS) | word.contains("n't"), F.lit(NEGATION)).otherwise(F.lit(1.0))
+    return F.struct(push.alias("push"), turn.alias("turn"))
 
 
 def lexicon_polarity(texts: DataFrame, lexicon: DataFrame, keys: list[str], text: str, score: str = "polarity") -> DataFrame:
@@ -77,7 +78,7 @@ def lexicon_polarity(texts: DataFrame, lexicon: DataFrame, keys: list[str], text
         *keys,
         "words",
         F.array_position(F.transform("words", F.lower), "but").alias("but_at"),
-        F.size(F.filter("words", _shouted)).between(1, F.size("words") - 1).alias("mixed"),
+        (F.exists("words", _shouted) & F.exists("words", lambda word: ~_shouted(word))).alias("mixed"),
     )
     context = F.transform(
         "words",
@@ -86,14 +87,16 @@ def lexicon_polarity(texts: DataFrame, lexicon: DataFrame, keys: list[str], text
     each = spoken.select(*keys, "but_at", "mixed", F.posexplode_outer(context).alias("at", "near"))
     each = each.join(lexicon.select(F.col("token"), "valence"), F.lower("near.w0") == F.col("token"), "left")
 
-    word, valence = F.col("near.w0"), F.col("valence")
-    valence = F.when(F.lower(word).isin(INTENSIFIERS + DAMPENERS), F.lit(0.0)).otherwise(valence)
-    valence = F.when(F.col("mixed") & _shouted(word), valence + F.signum(valence) * CAPITALS).otherwise(valence)
+    word, mixed = F.col("near.w0"), F.col("mixed")
+    start = F.when(F.lower(word).isin(INTENSIFIERS + DAMPENERS), F.lit(0.0)).otherwise(F.col("valence"))
+    emphasis = F.when(mixed & _shouted(word), F.lit(CAPITALS)).otherwise(F.lit(0.0))
+    effects = [F.struct(emphasis.alias("push"), F.lit(1.0).alias("turn"))]
     for distance, weight in enumerate(BOOST_BY_DISTANCE, 1):
-        valence = _after_neighbour(valence, F.coalesce(F.col(f"near.w{distance}"), F.lit("")), F.col("mixed"), weight)
+        effects.append(_neighbour_effect(F.coalesce(f"near.w{distance}", F.lit("")), mixed, weight))
+    adjusted = F.aggregate(F.array(*effects), start, lambda v, e: (v + F.signum(v) * e["push"]) * e["turn"])
     spot = F.col("at") + 1
     side = F.when(F.col("but_at") == 0, 1.0).when(spot < F.col("but_at"), BEFORE_BUT).when(spot > F.col("but_at"), AFTER_BUT)
-    valence = F.when(F.col("valence").isNull(), F.lit(0.0)).otherwise(valence * F.coalesce(side, F.lit(1.0)))
+    valence = F.when(F.col("valence").isNull(), F.lit(0.0)).otherwise(adjusted * F.coalesce(side, F.lit(1.0)))
     copies = F.greatest(F.count_if(F.col("at") == 0), F.lit(1))
     return each.groupBy(*keys).agg((F.round(F.sum(valence) / copies, 6) + 0.0).alias(score))
 

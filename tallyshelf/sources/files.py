@@ -52,7 +52,9 @@ def _typed(field: T.StructField) -> Column:
 def _too_long(schema: T.StructType) -> Column:
     """More fields than columns, counting the separators outside quotes of a flagged row."""
     bare = F.regexp_replace("_ragged", r'"[^"]*+"', "")
-    return F.coalesce(F.size(F.split(bare, ",", -1)) > len(schema), F.lit(False))
+    # the reader sets the flag only where a field is asked for as well
+    flagged = F.coalesce("_ragged", *schema.fieldNames()).isNotNull()
+    return F.coalesce(flagged & (F.size(F.split(bare, ",", -1)) > len(schema)), F.lit(False))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -74,6 +76,15 @@ def read_parquet_columns(spark: SparkSession, path: str, columns: list[str]) ->
     return spark.read.parquet(path).select(*columns)
 
 
+def spread_small(table: DataFrame) -> DataFrame:
+    """A table as read from files, dealt out to all cores if it has fewer splits than there are cores.
+
+    For work per row that is far dearer than moving the row. A table of many splits stays as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated sentiment lexicon: the token, its mean valence, and further fields that are not used."""
     fields = F.split("value", "\t")
