@@ -101,7 +101,7 @@ games AS (
 
 def game_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The catalogue rows as lines that mix Python and JSON words."""
-    raw = games_raw(spark, sf)
+    raw = spread_small(games_raw(spark, sf))
 
     def field(name: str):
         value = F.col(name)
@@ -196,7 +196,8 @@ def item_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("]}"),
     )
     cut = F.when(key % 97 == 0, F.expr("left(line, length(line) - 5)")).otherwise(F.col("line"))
-    return table(spark, sf, "events").select("event_id", line.alias("line")).select("event_id", cut.alias("value"))
+    events = spread_small(table(spark, sf, "events"))
+    return events.select("event_id", line.alias("line")).select("event_id", cut.alias("value"))
 
 
 ITEM_NAME = r"""CASE WHEN event_id % 13 = 0 OR event_id % 23 = 0 THEN NULL

@@ -8,6 +8,8 @@ from checks import bindings as b
 from checks.registry import check
 from tallyshelf.operators import neighbours, sentiment, tfidf, wordcounts
 from tallyshelf.plans import similar, tables
+from tallyshelf.session import fresh_path
+from tallyshelf.sources import files
 
 # --- sentiment -------------------------------------------------------------------------------------------
 
@@ -122,7 +124,7 @@ def tfidf_vectors(spark, sf):
 @check(f"WITH {DOCS}, {WEIGHTS}, wanted AS (SELECT id FROM docs), {NEAREST} SELECT * FROM nearest")
 def knn_cosine(spark, sf):
     docs = b.documents(spark, sf)
-    return neighbours.nearest_all(docs, tfidf.tfidf_vectors(docs))
+    return neighbours.nearest_all(docs, _stored(spark, tfidf.tfidf_vectors(docs)))
 
 
 MODEL = f"""{b.GAMES}, model AS (
@@ -135,8 +137,15 @@ TITLED = """SELECT nearest.id, place, neighbour, model.title AS similar_title, s
 
 
 def _model(spark, sf):
-    model = tables.model_table(b.games(spark, sf))
-    return model, similar.model_vectors(model)
+    model = _stored(spark, tables.model_table(b.games(spark, sf)))
+    return model, _stored(spark, similar.model_vectors(model))
+
+
+def _stored(spark, df):
+    """The table as written once and read by each request."""
+    path = fresh_path(spark, "stored")
+    files.write_parquet(df, path)
+    return spark.read.parquet(path)
 
 
 @check(

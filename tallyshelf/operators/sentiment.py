@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyshelf.functions.steps import computed
+
 # Fixed values of the published method.
 BOOST = 0.293
 BOOST_BY_DISTANCE = [1.0, 0.95, 0.9]
@@ -119,8 +121,7 @@ def label_reviews(reviews: DataFrame, lexicon: DataFrame, sentinel_first: bool =
     is shuffled only if a later step asks for it. `sentinel_first` reads a missing text as the words "no data".
     """
     review = F.coalesce(F.col("review"), F.lit("no data")) if sentinel_first else F.col("review")
-    digest = F.sha2(review, 256).alias("_digest")
-    texts = reviews.where(review.isNotNull()).select(digest, review.alias("_text"))
-    scores = lexicon_polarity(texts, lexicon, ["_digest"], "_text", "_polarity")
+    keyed = computed(reviews, _digest=F.sha2(review, 256))
+    scores = lexicon_polarity(keyed.select("_digest", review.alias("_text")), lexicon, ["_digest"], "_text", "_polarity")
     label = sentiment_label(review, F.col("recommend"), F.col("_polarity")).alias(name)
-    return reviews.select("*", digest).join(scores, "_digest", "left").select(*reviews.columns, label)
+    return keyed.join(scores, "_digest", "left").select(*reviews.columns, label)

@@ -38,7 +38,7 @@ def similar_titles(spark: SparkSession, model: DataFrame, vectors: DataFrame, ti
     return similar_to_titles(model, vectors, spark.createDataFrame([(title,)], "title string"), k)
 
 
-def similar_titles_all(model: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = 1000) -> DataFrame:
+def similar_titles_all(model: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = 2000) -> DataFrame:
     """The k most similar titles for every title."""
     docs = model.select("id", F.col("description").alias("text"))
     return _with_titles(nearest_all(docs, vectors, k, block_rows), model)

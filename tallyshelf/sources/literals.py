@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyshelf.functions.steps import computed
+
 # Quoted strings, matched without backtracking so that long lines stay linear.
 _SINGLE = r"'[^'\\]*+(?:\\.[^'\\]*+)*+'"
 _DOUBLE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
@@ -75,14 +77,6 @@ def _literal_to_json(lines: pd.Series) -> pd.Series:
     return lines.map(convert, na_action="ignore").astype(object).where(lambda s: s.notna(), None)
 
 
-def _computed(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns in a step that the optimizer neither merges nor passes filters through.
-
-    Without it each later use of a parsed field, in a filter or a cast, would parse the line again.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))))
-
-
 def _parse(lines: DataFrame, schema: T.StructType, line: str, literal: Column) -> DataFrame:
     wrapped = T.StructType([T.StructField("record", schema), T.StructField("_broken", T.StringType())])
 
@@ -91,18 +85,18 @@ def _parse(lines: DataFrame, schema: T.StructType, line: str, literal: Column) -
 
     kept = [c for c in lines.columns if c != line]
     staged = lines.select(*kept, F.trim(F.col(line)).alias(line))
-    staged = _computed(staged, _literal=literal)
-    staged = _computed(staged, _plain=F.regexp_replace("_literal", f"[uU]?({_STRING})", "$1"))
-    staged = _computed(staged, _frame=F.regexp_replace("_plain", _STRING, '"'))
+    staged = computed(staged, _literal=literal)
+    staged = computed(staged, _plain=F.regexp_replace("_literal", f"[uU]?({_STRING})", "$1"))
+    staged = computed(staged, _frame=F.regexp_replace("_plain", _STRING, '"'))
     renamed = F.col("_plain")
     for word, other in _JSON_WORDS.items():
         renamed = _rename_bare_word(renamed, word, other)
     shaped = _has_json_shape(F.col("_plain"), F.col("_frame"), list(_JSON_WORDS))
-    staged = _computed(staged, _fast=F.when(shaped, from_json(renamed)))
+    staged = computed(staged, _fast=F.when(shaped, from_json(renamed)))
     fast_ok = F.col("_fast").isNotNull() & F.col("_fast._broken").isNull()
     staged = staged.withColumn("_rest", _literal_to_json(F.when(~fast_ok, F.col("_literal"))))
     slow = F.when(F.col("_rest").isNotNull(), from_json(F.col("_rest"))["record"])
-    return _computed(staged, record=F.when(fast_ok, F.col("_fast.record")).otherwise(slow)).select(*kept, line, "record")
+    return computed(staged, record=F.when(fast_ok, F.col("_fast.record")).otherwise(slow)).select(*kept, line, "record")
 
 
 def parse_literal_records(lines: DataFrame, schema: T.StructType, line: str = "value") -> DataFrame:
