@@ -29,32 +29,23 @@ def text_table(spark: SparkSession, sf: str) -> DataFrame:
 
 def games_raw(spark: SparkSession, sf: str) -> DataFrame:
     """Catalogue rows with every scalar as text, from `part`."""
-    key = F.col("p_partkey")
-    day = F.date_add(F.lit("1995-01-01").cast("date"), (key % 2500).cast("int"))
-    name_words = F.split("p_name", " ")
-    title = F.when(key % 19 == 0, F.concat("p_name", F.lit(" true NaN"))).otherwise(F.col("p_name"))
-    return table(spark, sf, "part").select(
-        key.cast("string").alias("id"),
-        F.when(key % 13 != 0, F.col("p_name")).alias("app_name"),
-        F.when(key % 17 != 0, title).alias("title"),
-        F.concat(F.lit("http://shop/"), key.cast("string")).alias("url"),
-        F.concat(F.lit("http://shop/reviews/"), key.cast("string")).alias("reviews_url"),
-        F.when(key % 10 == 0, "Free to Play")
-        .when(key % 10 == 1, "Starting at $499.00")
-        .when(key % 10 != 2, F.col("p_retailprice").cast("string"))
-        .alias("price"),
-        F.when(key % 25 == 0, "Soon..")
-        .when(key % 25 == 1, "Jan 2018")
-        .when(key % 25 == 2, "1/2/2018")
-        .when(key % 25 == 3, "Jan 4, 2018")
-        .when(key % 25 != 4, day.cast("string"))
-        .alias("release_date"),
-        F.when(key % 31 != 0, F.col("p_brand")).alias("developer"),
-        F.when(key % 29 != 0, F.col("p_type")).alias("publisher"),
-        F.when(key % 37 != 0, name_words).alias("genres"),
-        F.array("p_brand", F.lower("p_type")).alias("tags"),
-        F.array("p_type", F.concat(F.lit("size "), F.col("p_size").cast("string"))).alias("specs"),
-        (F.col("p_size") % 2 == 0).cast("string").alias("early_access"),
+    return table(spark, sf, "part").selectExpr(
+        "string(p_partkey) AS id",
+        "CASE WHEN p_partkey % 13 <> 0 THEN p_name END AS app_name",
+        "CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 19 = 0 THEN p_name || ' true NaN' ELSE p_name END AS title",
+        "'http://shop/' || p_partkey AS url",
+        "'http://shop/reviews/' || p_partkey AS reviews_url",
+        """CASE WHEN p_partkey % 10 = 0 THEN 'Free to Play' WHEN p_partkey % 10 = 1 THEN 'Starting at $499.00'
+           WHEN p_partkey % 10 <> 2 THEN string(p_retailprice) END AS price""",
+        """CASE WHEN p_partkey % 25 = 0 THEN 'Soon..' WHEN p_partkey % 25 = 1 THEN 'Jan 2018'
+           WHEN p_partkey % 25 = 2 THEN '1/2/2018' WHEN p_partkey % 25 = 3 THEN 'Jan 4, 2018'
+           WHEN p_partkey % 25 <> 4 THEN string(date_add(date'1995-01-01', int(p_partkey % 2500))) END AS release_date""",
+        "CASE WHEN p_partkey % 31 <> 0 THEN p_brand END AS developer",
+        "CASE WHEN p_partkey % 29 <> 0 THEN p_type END AS publisher",
+        "CASE WHEN p_partkey % 37 <> 0 THEN split(p_name, ' ') END AS genres",
+        "array(p_brand, lower(p_type)) AS tags",
+        "array(p_type, 'size ' || p_size) AS specs",
+        "string(p_size % 2 = 0) AS early_access",
     )
 
 

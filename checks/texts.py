@@ -153,7 +153,7 @@ def _stored(spark, df):
     {NEAREST} {TITLED}"""
 )
 def similar_titles(spark, sf):
-    return similar.similar_titles(spark, *_model(spark, sf), "Blue-Gizmo!")
+    return similar.similar_titles(*_model(spark, sf), "Blue-Gizmo!")
 
 
 @check(

@@ -20,8 +20,16 @@ def items_left_games(items: DataFrame, games: DataFrame) -> DataFrame:
 
 
 def games_left_reviews(games: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Every game, with nulls where it has no review."""
-    return games.join(reviews, games["id"] == reviews["item_id"], "left")
+    """Every game, with nulls where it has no review.
+
+    Built from the matches and the games without any: in a left join the right side, where a popular game may
+    hold a large part of the rows, could neither be split nor stay in place against a broadcast of the games.
+    """
+    matched = games.join(reviews, games["id"] == reviews["item_id"])
+    reviewed = reviews.select(F.col("item_id").alias("_reviewed")).distinct()
+    unmatched = games.join(reviewed, games["id"] == F.col("_reviewed"), "left_anti")
+    nulls = [F.lit(None).cast(field.dataType).alias(field.name) for field in reviews.schema]
+    return matched.union(unmatched.select("*", *nulls))
 
 
 def top_left_labels(top: DataFrame, games: DataFrame, label: str) -> DataFrame:

@@ -86,5 +86,8 @@ def drop_rows_without_item(items: DataFrame) -> DataFrame:
 
 
 def key_exists(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """The wanted keys that occur in a table; `wanted` has the key under the same name."""
-    return wanted.join(df.select(column), column, "left_semi")
+    """The wanted keys that occur in a table; `wanted` has the key under the same name.
+
+    The table's keys are made distinct first, so that a frequent key is one row in the join.
+    """
+    return wanted.join(df.select(column).distinct(), column, "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyshelf.functions.text import normalize_title
@@ -24,7 +24,7 @@ def find_titles(model: DataFrame, titles: DataFrame) -> DataFrame:
 
 def _with_titles(near: DataFrame, model: DataFrame) -> DataFrame:
     titles = model.select(F.col("id").alias("neighbour"), F.col("title").alias("similar_title"))
-    return near.join(titles, "neighbour").select("id", "place", "neighbour", "similar_title", "similarity")
+    return titles.join(near, "neighbour").select("id", "place", "neighbour", "similar_title", "similarity")
 
 
 def similar_to_titles(model: DataFrame, vectors: DataFrame, titles: DataFrame, k: int = 5) -> DataFrame:
@@ -33,9 +33,12 @@ def similar_to_titles(model: DataFrame, vectors: DataFrame, titles: DataFrame, k
     return _with_titles(nearest_to(model.select("id"), vectors, wanted, k), model)
 
 
-def similar_titles(spark: SparkSession, model: DataFrame, vectors: DataFrame, title: str, k: int = 5) -> DataFrame:
+def similar_titles(model: DataFrame, vectors: DataFrame, title: str, k: int = 5) -> DataFrame:
     """The k most similar titles for one title; empty if there is no such title."""
-    return similar_to_titles(model, vectors, spark.createDataFrame([(title,)], "title string"), k)
+    asked = normalize_title(F.lit(title))
+    found = model.where((F.col("normalized_title") == asked) & (asked != "")).agg(F.min("id").alias("id"))
+    wanted = found.where("id is not null")
+    return _with_titles(F.broadcast(nearest_to(model.select("id"), vectors, wanted, k, single=True)), model)
 
 
 def similar_titles_all(model: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = 2000) -> DataFrame:

@@ -19,10 +19,12 @@ MISSING_TEXTS = [
 def read_gz_lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """Lines of compressed text with the name of their file.
 
-    A gzip file is read by one task, so the lines are spread out at once for the parsing that follows.
+    A gzip file is read by one task, so the lines are spread out at once for the parsing that follows: over
+    `partitions`, or else over the session's shuffle partitions and at least all cores.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.trim("value").alias("value"))
-    return lines.repartition(partitions or spark.sparkContext.defaultParallelism)
+    usual = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return lines.repartition(partitions or usual)
 
 
 def _read_text_fields(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
