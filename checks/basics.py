@@ -32,8 +32,8 @@ def read_gz_lines(spark, sf):
     return files.read_gz_lines(spark, path).select("value")
 
 
-@check(f"WITH {b.FLAT_ITEMS} SELECT * FROM flat_items")
-def parse_literal_records_items(spark, sf):
+@check(f"WITH {b.FLAT_ITEMS} SELECT * FROM flat_items", name="parse_literal_records")
+def literal_records_of_events(spark, sf):
     return tables.flat_items(b.item_lines(spark, sf)).select(
         "user_id", "item_id", "item_name", F.col("playtime_forever").cast("bigint").alias("playtime_forever")
     )
@@ -42,9 +42,10 @@ def parse_literal_records_items(spark, sf):
 @check(
     f"""WITH {b.GAMES_RAW} SELECT CAST(id AS VARCHAR) AS id, app_name, title, 'http://shop/' || id AS url, price,
     release_date, developer, publisher, array_to_string(genres, '|') AS genres, array_to_string(tags, '|') AS tags,
-    array_to_string(specs, '|') AS specs, early_access FROM games_raw"""
+    array_to_string(specs, '|') AS specs, early_access FROM games_raw""",
+    name="parse_patched_records",
 )
-def parse_patched_records_games(spark, sf):
+def patched_records_of_parts(spark, sf):
     games = tables.raw_games(b.game_lines(spark, sf))
     lists = [F.array_join(name, "|").alias(name) for name in ("genres", "tags", "specs")]
     flag = F.col("early_access").cast("boolean").alias("early_access")
