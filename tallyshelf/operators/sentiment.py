@@ -88,6 +88,8 @@ def lexicon_polarity(texts: DataFrame, lexicon: DataFrame, keys: list[str], text
     )
     each = spoken.select(*keys, "but_at", "mixed", F.posexplode_outer(context).alias("at", "near"))
     each = each.join(lexicon.select(F.col("token"), "valence"), F.lower("near.w0") == F.col("token"), "left")
+    # known words, and the first word of each text so that no text gets lost
+    each = each.where(F.col("valence").isNotNull() | (F.coalesce("at", F.lit(0)) == 0))
 
     word, mixed = F.col("near.w0"), F.col("mixed")
     start = F.when(F.lower(word).isin(INTENSIFIERS + DAMPENERS), F.lit(0.0)).otherwise(F.col("valence"))
@@ -99,8 +101,10 @@ def lexicon_polarity(texts: DataFrame, lexicon: DataFrame, keys: list[str], text
     spot = F.col("at") + 1
     side = F.when(F.col("but_at") == 0, 1.0).when(spot < F.col("but_at"), BEFORE_BUT).when(spot > F.col("but_at"), AFTER_BUT)
     valence = F.when(F.col("valence").isNull(), F.lit(0.0)).otherwise(adjusted * F.coalesce(side, F.lit(1.0)))
-    copies = F.greatest(F.count_if(F.col("at") == 0), F.lit(1))
-    return each.groupBy(*keys).agg((F.round(F.sum(valence) / copies, 6) + 0.0).alias(score))
+    # computed before the grouping, which then runs as compiled code
+    each = each.select(*keys, F.when(F.col("at") == 0, 1).alias("first"), valence.alias("part"))
+    copies = F.greatest(F.count("first"), F.lit(1))
+    return each.groupBy(*keys).agg((F.round(F.sum("part") / copies, 6) + 0.0).alias(score))
 
 
 def sentiment_label(review: Column, recommend: Column, polarity: Column) -> Column:

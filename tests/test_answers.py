@@ -154,15 +154,8 @@ def test_one_key_equals_its_row_of_all(spark, sf):
     assert sentiment.join(total, "developer").where("negative + positive > count").count() == 0
 
 
-def test_a_popular_item_gives_whole_results(spark):
+def test_a_popular_item_gives_whole_results(spark, sorted_joins):
     """A third of all reviews and minutes on one item, with joins that sort both sides and split large parts."""
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
-    }
     n = 30000
     games = spark.range(50).selectExpr(
         "id", "'t' as title", "2.0 as price", "date'2000-01-01' as release_date", "2000 as year",
@@ -186,12 +179,6 @@ def test_a_popular_item_gives_whole_results(spark):
         lambda: joins.games_left_reviews(games, reviews).groupBy("id").count(),
     ]
     plain = [rows(q()) for q in questions]
-    before = {key: spark.conf.get(key, None) for key in settings}
-    try:
-        for key, value in settings.items():
-            spark.conf.set(key, value)
+    with sorted_joins():
         assert [rows(q()) for q in questions] == plain
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     assert sum(r[3] for r in plain[0]) == n

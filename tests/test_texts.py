@@ -134,6 +134,25 @@ def test_nearest_of_one(spark, single):
         assert [(r["neighbour"], r["similarity"]) for r in found] == want[id]
 
 
+def test_sorted_joins_give_the_same(spark, lexicon, sorted_joins):
+    ids, texts = corpus(90, seed=11)
+    df = spark.createDataFrame([(i, t, True, t + " good") for i, t in zip(ids, texts)],
+                               "id long, text string, recommend boolean, review string")
+    vectors = tfidf.tfidf_vectors(df)
+    wanted = spark.createDataFrame([(i,) for i in ids[::9]], "id long")
+    with sorted_joins():
+        near = neighbours.nearest_all(df.select("id", "text"), vectors, 5, 40).orderBy("id", "place").collect()
+        some = neighbours.nearest_to(df.select("id"), vectors, wanted).orderBy("id", "place").collect()
+        labels = sentiment.label_reviews(df, lexicon).select("id", "sentiment_analysis").collect()
+    want = nearest(ids, texts, 5)
+    got = {}
+    for r in near:
+        got.setdefault(r["id"], []).append((r["neighbour"], r["similarity"]))
+    assert got == want
+    assert [(r["neighbour"], r["similarity"]) for r in some] == [pair for i in sorted(ids[::9]) for pair in want[i]]
+    assert sorted(labels) == [(i, 2) for i in sorted(ids)]
+
+
 def test_fewer_documents_than_neighbours(spark):
     df = spark.createDataFrame([(1, "one two"), (2, "two three")], "id long, text string")
     vectors = tfidf.tfidf_vectors(df)
