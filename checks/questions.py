@@ -252,6 +252,17 @@ def describe_numeric(spark, sf):
     return _rounded(profiling.describe_numeric(b.table(spark, sf, "events"), "value"))
 
 
+def _described_as(source: str, column: str) -> str:
+    whole = _described(source, column).replace(f"min({column})", f"CAST(min({column}) AS DOUBLE)")
+    return f"SELECT '{column}' AS \"column\", * FROM ({whole.replace(f'max({column})', f'CAST(max({column}) AS DOUBLE)')})"
+
+
+@check(" UNION ALL ".join(_described_as("lineitem", name) for name in ("l_linenumber", "l_extendedprice", "l_tax")))
+def describe_table(spark, sf):
+    lines = b.table(spark, sf, "lineitem").select("l_linenumber", "l_extendedprice", "l_tax", "l_returnflag")
+    return _rounded(profiling.describe_table(lines))
+
+
 def _outliers(columns: str, source: str, column: str) -> str:
     return f"""SELECT {columns} FROM {source}, (
       SELECT quantile_cont({column}, 0.25) AS q1, quantile_cont({column}, 0.75) AS q3 FROM {source}) AS q

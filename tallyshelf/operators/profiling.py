@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -120,6 +123,13 @@ def describe_numeric(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def describe_table(df: DataFrame) -> DataFrame:
+    """The same for every numeric column, one row each."""
+    numeric = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+    rows = [describe_numeric(df, name).select(F.lit(name).alias("column"), "*") for name in numeric]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def iqr_bounds(df: DataFrame, column: str) -> DataFrame:
     """One row with the lower and upper bound, 1.5 quartile distances outside the quartiles."""
     q = exact_quantiles(df, column, [0.25, 0.75]).select(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import StopWordsRemover
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyshelf.functions.text import words
@@ -10,13 +11,18 @@ from tallyshelf.functions.text import words
 TOP_WORDS = 200
 
 
+def stop_words(language: str = "english") -> list[str]:
+    """The words that Spark itself lists as stop words of a language, as whole words of this library."""
+    return [word for word in StopWordsRemover.loadDefaultStopWords(language) if "'" not in word]
+
+
 def _long(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per row and column: the name of the column and its words."""
     parts = [F.struct(F.lit(name).alias("field"), words(_as_text(df, name)).alias("words")) for name in columns]
     return df.select(F.inline(F.array(*parts)))
 
 
-def _as_text(df: DataFrame, name: str):
+def _as_text(df: DataFrame, name: str) -> Column:
     if df.schema[name].dataType.typeName() == "array":
         return F.array_join(name, " ")
     return F.col(name).cast("string")

@@ -193,3 +193,4 @@ def test_word_counts(spark):
     pairs = wordcounts.bigram_frequency(df, ["title", "tags"], ["and"]).orderBy("field", "place").collect()
     assert [tuple(r) for r in pairs] == [("tags", "red fox", 1, 1), ("title", "the cat", 2, 1)]
     assert wordcounts.word_frequency(df, ["title"], [], 1).count() == 1
+    assert {"the", "and", "of"} <= set(wordcounts.stop_words())
