@@ -10,16 +10,11 @@ from checks.registry import check
 from tallyshelf import schemas
 from tallyshelf.functions.text import list_literal, normalize_title, strip_list_marks
 from tallyshelf.functions.values import minutes_to_hours, to_date, to_number
-from tallyshelf.operators import cleaning, grouping, nested, shape
+from tallyshelf.operators import cleaning, nested, shape
 from tallyshelf.plans import tables
 from tallyshelf.session import fresh_path
 from tallyshelf.sources import files
-from tallyshelf.sources.literals import (
-    good_records,
-    parse_literal_records,
-    parse_patched_records,
-    rejected_records,
-)
+from tallyshelf.sources.literals import parse_literal_records, rejected_records
 
 
 # --- sources and sinks -----------------------------------------------------------------------------------

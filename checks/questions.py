@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import bindings as b
 from checks.registry import check
-from tallyshelf.operators import grouping, joins, nested, profiling, ranking, shape
+from tallyshelf.operators import grouping, joins, nested, profiling, ranking
 from tallyshelf.plans import answers
 
 

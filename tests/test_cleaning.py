@@ -106,8 +106,14 @@ def test_duplicates_count_nulls_as_equal(spark):
 
 
 def test_items_without_id_and_name_go(spark):
-    rows = [("u", "x", None, None, "5", "1"), ("u", "x", None, "n", None, "1"), ("u", "x", "7", None, "9", "1"), ("u", "x", "7", None, "9", "2")]
-    df = spark.createDataFrame(rows, "user_id string, user_url string, item_id string, item_name string, playtime_forever string, playtime_2weeks string")
+    rows = [
+        ("u", "x", None, None, "5", "1"),
+        ("u", "x", None, "n", None, "1"),
+        ("u", "x", "7", None, "9", "1"),
+        ("u", "x", "7", None, "9", "2"),
+    ]
+    names = ["user_id", "user_url", "item_id", "item_name", "playtime_forever", "playtime_2weeks"]
+    df = spark.createDataFrame(rows, ", ".join(f"{name} string" for name in names))
     got = {tuple(r) for r in tables.clean_items(df).collect()}
     assert got == {("u", None, "n", 0), ("u", 7, "no data", 9)}
     assert tables.clean_items(df).count() == 2
