@@ -86,7 +86,7 @@ t AS (
   SELECT source, source_size, round(least(weight * (SELECT level FROM b WHERE level <= bound ORDER BY bound, source LIMIT 1), 3 * source_size), 6) AS target FROM b
 ),
 c AS (
-  SELECT doc_id, size, source_size, target, least(floor(target) // greatest(source_size, 1), 3) AS epochs,
+  SELECT doc_id, size, source_size, target, least(floor(floor(target) / greatest(source_size, 1)), 3) AS epochs,
     coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN t USING (source)
 )
