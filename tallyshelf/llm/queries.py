@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tallyshelf.llm import exact_dedup, mixing, norm_search, packing
+from tallyshelf.llm import exact_dedup, mixing, norm_search, packing, repeats
 
 QUERIES = {"pipeline": corpus_pipeline.run}
 ORACLES = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
@@ -94,3 +94,9 @@ SELECT doc_id, size, source_size, target,
   (epochs * size + greatest(0, least(size, floor(target) - epochs * source_size - before)))::BIGINT AS taken
 FROM c
 """
+
+
+@query
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without passages of 400 bytes that occur twice."""
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
