@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tallyshelf.llm import exact_dedup, mixing, norm_search, packing, repeats
+from tallyshelf.llm import exact_dedup, mixing, norm_search, packing, repeats, toxicity
+from tallyshelf.llm.common import held_out
 
 QUERIES = {"pipeline": corpus_pipeline.run}
 ORACLES = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
@@ -39,6 +40,13 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+@query
+def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labelled rows that are not held out."""
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return toxicity.toxicity(docs, labels, held_out(F.col("doc_id"), 4, 2), at_least=0.3)
+
+
 @query
 def op4_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of all documents."""
