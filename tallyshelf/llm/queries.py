@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tallyshelf.llm import exact_dedup, mixing, norm_search, packing, repeats, toxicity
+from tallyshelf.llm import exact_dedup, language, mixing, norm_search, packing, repeats, secret_scan, toxicity
 from tallyshelf.llm.common import held_out
 
 QUERIES = {"pipeline": corpus_pipeline.run}
@@ -66,6 +66,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op6_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secret_scan.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 @query
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the sources' weights; documents of known good quality are drawn earlier, of bad later."""
@@ -108,3 +114,9 @@ FROM c
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without passages of 400 bytes that occur twice."""
     return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from rows with a language that are not held out."""
+    return language.identify(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 3, 1))

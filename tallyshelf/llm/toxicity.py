@@ -13,16 +13,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyshelf.llm.common import slices, stored
 
 #: The classifier is fitted on at most so many labelled rows of either kind, those with the least hash of the doc_id.
 FIT_ROWS = 4000
 #: words in the toxic part, in the part that both dictionaries share, and in the ordinary part
-TOXIC_WORDS, SHARED_WORDS, ORDINARY_WORDS = 120, 2000, 300
+TOXIC_WORDS, SHARED_WORDS, ORDINARY_WORDS = 150, 2000, 300
 #: bytes of a gram, the least number of documents and the least weight that make one a mark of toxic text
 GRAM, MARK_DOCS, MARK_WEIGHT = 6, 4, 12.0
+PER_GRAM = 4
 #: longest window; longer words are several
 WIDEST = 64
 FRAME = b" of and the in that with is for "
@@ -58,18 +59,18 @@ def word_frequencies(sample: DataFrame) -> DataFrame:
 
 
 def marking_words(words: DataFrame, toxic_docs: int, ordinary_docs: int, most: int) -> list[str]:
-    """Words with the grams that tell toxic text best: log ratio of the two shares, times the toxic documents."""
+    """Words with the grams that tell toxic text best: log ratio of the two shares, times the toxic documents. A gram
+    stands in some words only."""
     framed = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
-    grams = words.filter("toxic > 0").select(
-        "word", "toxic", "ordinary",
-        F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(framed) - (GRAM - 1), F.lit(1))), lambda i: F.substring(framed, i, GRAM)))).alias("gram"),
-    )
-    ordinary = words.select(
-        F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(framed) - (GRAM - 1), F.lit(1))), lambda i: F.substring(framed, i, GRAM)))).alias("gram"), "ordinary", "toxic"
-    ).groupBy("gram").agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(framed) - (GRAM - 1), F.lit(1)))
+    grams = words.select("word", "toxic", "ordinary", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(framed, i, GRAM)))).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o"))
     ratio = F.log((F.col("t") / toxic_docs) / ((F.col("o") + 0.5) / ordinary_docs))
-    marks = ordinary.filter(F.col("t") >= MARK_DOCS).select("gram", (F.col("t") * ratio).alias("weight")).filter(F.col("weight") >= MARK_WEIGHT)
-    best = grams.join(marks, "gram").groupBy("word").agg(F.max("weight").alias("weight"), F.max("toxic").alias("toxic"))
+    marks = counts.filter(F.col("t") >= MARK_DOCS).select("gram", (F.col("t") * ratio).alias("weight")).filter(F.col("weight") >= MARK_WEIGHT)
+    own = Window.partitionBy("word").orderBy(F.desc("weight"), "gram")
+    first = Window.partitionBy("gram").orderBy(F.desc("toxic"), "word")
+    best = grams.filter("toxic > 0").join(marks, "gram").withColumn("i", F.row_number().over(own)).filter("i = 1")
+    best = best.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= PER_GRAM)
     return [r["word"] for r in best.orderBy(F.desc("weight"), F.desc("toxic"), "word").limit(most).collect()]
 
 
