@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tallyshelf.llm import exact_dedup, language, mixing, norm_search, packing, repeats, secret_scan, toxicity
+from tallyshelf.llm import exact_dedup, language, mixing, norm_search, packing, personal_data, repeats, secret_scan, toxicity
 from tallyshelf.llm.common import held_out
 
 QUERIES = {"pipeline": corpus_pipeline.run}
@@ -72,6 +72,12 @@ def op6_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents")).drop("found")
 
 
+@query
+def op7_weak_labels_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return personal_data.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 @query
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the sources' weights; documents of known good quality are drawn earlier, of bad later."""

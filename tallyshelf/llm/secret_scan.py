@@ -10,7 +10,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -35,7 +37,7 @@ system manager public private database token key pass the and for you with this
 # Rows of a keyboard.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 # Letters that signs and digits stand for.
-LEET = str.maketrans("43105$7@", "aeiosst" + "a")
+LEET = str.maketrans("43105$7@", "aeiossta")
 
 RANKS = {w: i + 1 for i, w in enumerate(WORDS)}
 LONGEST_WORD = max(map(len, WORDS))
@@ -67,9 +69,9 @@ def segments(value: str, depth: int = 0) -> Iterator[tuple[int, int, float]]:
                 yield i, j, math.log10(rank + 1) + 0.3 * (value[i:j] != low[i:j])
         if (found := DATE.match(value, i)) is not None:
             yield i, found.end(), math.log10(365 * 120 if found.end() - i > 4 else 120)
-        if depth == 0 and (found := REPEAT.match(value, i)) is not None and found.end() - i >= 3:
-            unit = found[1]
-            yield i, found.end(), guess_cost(unit, 1) + math.log10((found.end() - i) // len(unit))
+    for found in REPEAT.finditer(value) if depth == 0 else ():
+        if found.end() - found.start() >= 3:
+            yield *found.span(), guess_cost(found[1], 1) + math.log10((found.end() - found.start()) // len(found[1]))
     i = 0
     while i < n - 2:  # runs: letters or digits in steps of one
         step = ord(value[i + 1]) - ord(value[i])
@@ -112,10 +114,13 @@ def find_secrets(text: str) -> list[tuple[int, int, int]]:
     if ":" in text or "=" in text:
         spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
         spans.sort()
+        starts, reach = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
         for m in CONTEXT.finditer(text):
             start, end = m.span(1)
             end = start + len(m[1].rstrip(".!?)]}:"))
-            if end - start >= SHORTEST and not any(s < end and start < e for s, _, e in spans) and guess_cost(text[start:end]) >= BOUND:
+            before = bisect_left(starts, end)
+            apart = not before or reach[before - 1] <= start
+            if apart and end - start >= SHORTEST and guess_cost(text[start:end]) >= BOUND:
                 spans.append((start, 3, end))
     return sorted(spans)
 
