@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tallyshelf.llm import exact_dedup, language, mixing, norm_search, packing, personal_data, repeats, secret_scan, toxicity
+from tallyshelf.llm import exact_dedup, language, mixing, near_dedup, norm_search, packing, personal_data, repeats, secret_scan, toxicity
 from tallyshelf.llm.common import held_out
 
 QUERIES = {"pipeline": corpus_pipeline.run}
@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near duplicates among all documents."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 @query
 def op2_norm_bucketed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 greatest inner products for every vector whose id is divisible by 20."""
