@@ -1,13 +1,19 @@
-"""Documents to packed training sequences, stage by stage."""
+"""Documents to packed training sequences, stage by stage.
+
+Each stage takes the documents that its predecessor kept, all but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyshelf.llm import mixing
+from tallyshelf.llm import exact_dedup, mixing, near_dedup, packing, toxicity
+from tallyshelf.llm.common import held_out, kept_rows, normalized, stored
 
-STAGES = []
+#: Stages hold a trained classifier, similarities and a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def weighed(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -18,5 +24,58 @@ def weighed(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(known, "doc_id", "left").select("doc_id", "source", "size", weight.alias("weight"))
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.toxicity(docs, labels, held_out(F.col("doc_id"), 4, 2), carry=True)
+    return scored.filter("predicted = 0").select("row.*")
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return kept_rows(docs, exact_dedup.exact_duplicates(docs), {"text_sha256": F.sha2(normalized(F.col("text")), 256)})
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return kept_rows(docs, near_dedup.near_duplicates(docs), {"text_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; the one at the end of a source's budget with its first words only.
+
+    Documents of which the mix takes no word go, and those without words. Rows with the same doc_id and number of words
+    are taken alike.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    taken = mixing.mix(weighed(docs, labels)).filter("taken > 0").groupBy("doc_id", "size").agg(F.max("taken").alias("taken"))
+    rows = docs.withColumn("_size", mixing.word_count(F.col("text")))
+    plan = stored(taken, "taken").select(F.col("doc_id").alias("_doc_id"), F.col("size").alias("_words"), F.col("taken").alias("_taken"))
+    rows = rows.join(plan, rows["doc_id"].eqNullSafe(plan["_doc_id"]) & (F.col("_size") == F.col("_words")))
+    copies = F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))
+    rows = rows.withColumn("_copy", F.explode(copies)).withColumn("_rest", F.col("_taken") - (F.col("_copy") - 1) * F.col("_size"))
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_rest").cast("int")), " ")
+    cut = F.col("_rest") < F.col("_size")
+    rows = rows.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
+    return rows.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("exact dedup", without_copies),
+    ("near dedup", without_near_copies),
+    ("mixing", mixed),
+    ("packing", packed),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

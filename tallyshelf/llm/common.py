@@ -52,3 +52,17 @@ def slices(batch: pa.RecordBatch, column: str, most: int):
         total += int(n)
     if begin < len(lengths):
         yield batch.slice(begin)
+
+
+def kept_rows(docs: DataFrame, decisions: DataFrame, key: dict[str, Column]) -> DataFrame:
+    """The rows of `docs` that `decisions` keeps (doc_id, further columns as in `key`, kept), one of equal rows.
+
+    key: names of columns of `decisions`, with what gives them for a row of `docs`.
+    """
+    decisions = stored(decisions.select("doc_id", *key, "kept"), "decisions")
+    rows = docs.withColumns({f"_{name}_of_row": value for name, value in key.items()})
+    same = [rows["doc_id"].eqNullSafe(F.col("k.doc_id")), *(F.col(f"_{name}_of_row") == F.col(f"k.{name}") for name in key)]
+    kept = rows.join(decisions.filter("kept").alias("k"), same, "left_semi")
+    if not decisions.groupBy("doc_id", *key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", *(f"_{name}_of_row" for name in key)])
+    return kept.select(*docs.columns)

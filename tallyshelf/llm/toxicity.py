@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyshelf.llm.common import slices, stored
 
@@ -143,8 +143,8 @@ def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0)
     return mean, scale, w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, at_least: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of `docs` (doc_id, text).
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, at_least: float = 0.3, fit_rows: int = FIT_ROWS, carry: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of `docs` (doc_id, text); with `carry` the whole row too, as `row`.
 
     `labels` (doc_id, toxic) marks rows; of contradicting labels toxic counts. Learned is from labelled documents that
     are not `held_out` (a condition on doc_id; null counts as not). Texts alone make the score: null counts as empty,
@@ -157,10 +157,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, at_least: flo
     of_kind = {r["toxic"]: r["n"] for r in learn.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(of_kind.values())
     share = of_kind.get(1, 0) / total if total else 0.0
-    result = "doc_id long, held_out boolean, score double, predicted int"
-    rows = docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), "text")
+    result = T.StructType.fromDDL("doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select(F.struct(*docs.columns if carry else ("doc_id", "text")).alias("row"), F.col("doc_id").cast("long"), held.alias("held_out"))
     if len(of_kind) < 2:
-        return rows.select("doc_id", "held_out", F.lit(share).alias("score"), F.lit(int(share >= at_least)).alias("predicted"))
+        more = ["row"] if carry else []
+        return rows.select("doc_id", "held_out", F.lit(share).alias("score"), F.lit(int(share >= at_least)).alias("predicted"), *more)
+    if carry:
+        result = result.add("row", rows.schema["row"].dataType)
     first = lambda kind: learn.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     chosen = F.broadcast(first(0).unionByName(first(1)))  # at most twice fit_rows ids
     sample = stored(docs.select("doc_id", "text").join(chosen, "doc_id"), "sample")
@@ -187,12 +190,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, at_least: flo
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, (mean, scale, w) = Windows(toxic, ordinary), model
         for batch in batches:
+            batch = batch.append_column("text", pc.struct_field(batch.column("row"), "text"))
             for part in slices(batch, "text", BATCH):
                 x = (windows.features(part.column("text")) - mean) / scale
                 p = 1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -30, 30)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(p), pa.array((p >= at_least).astype(np.int32))],
-                    ["doc_id", "held_out", "score", "predicted"],
-                )
+                columns = [part.column("doc_id"), part.column("held_out"), pa.array(p), pa.array((p >= at_least).astype(np.int32)), part.column("row")]
+                names = ["doc_id", "held_out", "score", "predicted", "row"]
+                yield pa.RecordBatch.from_arrays(columns[: 4 + carry], names[: 4 + carry])
 
     return rows.mapInArrow(score, result)
