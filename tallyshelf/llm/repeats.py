@@ -4,14 +4,18 @@ A byte string of `length` that starts at two places is a window of each; equal w
 through their first `length` bytes, most significant digit first, and keeping what is not alone in its group.
 
 The digits are chosen so that suffixes travel together as long as they agree. Every window is led by its smallest gram
-(the least hash among its 128-byte grams, the leftmost of equal ones), and neighbouring windows with the same gram form a
+(the least hash among its 48-byte grams, the leftmost of equal ones), and neighbouring windows with the same gram form a
 run. Equal windows have equal leading grams at the same offset, so the passes are:
 
 1. the gram: runs whose gram leads no other run are alone, and so are all their windows;
 2. the run as a whole (all bytes of its windows): equal runs are repeated in all their windows at once;
-3. for grams that lead different runs: one run of each kind gives the hash of each of its windows, and equal ones meet.
+3. for grams that lead different runs, one run of each kind is cut into blocks of 16 windows, by their offset to the gram: a
+   block whose core (the bytes all its windows share) no other block has is alone; blocks that are equal as a whole are
+   repeated at once;
+4. for cores of different blocks, the windows themselves.
 
-Places of documents are known by doc_id and a hash of the text; windows and runs by 128-bit hashes.
+Places of documents are known by doc_id and a hash of the text. Groups are told apart by 64-bit hashes within groups of
+a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -26,16 +30,19 @@ from pyspark.sql import DataFrame, functions as F
 from tallyshelf.llm.common import byte_runs, slices, stored
 
 LENGTH = 400
-GRAM = 128
+GRAM = 48
+#: windows of a block
+BLOCK = 16
 #: bytes a task hashes at a time
 BATCH, SEGMENT = 4_000_000, 1 << 17
-#: windows a task hands over at a time
-WINDOWS_AT_ONCE = 200_000
+#: rows a task hands over at a time
+ROWS = 200_000
 #: the bits of a ranked hash that hold a place within a segment
 PLACE = np.uint64((1 << 21) - 1)
 
-RUNS = "id long, text_hash long, start int, n int, gram long, run1 long, run2 long"
-WINDOWS = "id long, text_hash long, at int, single boolean, h1 long, h2 long"
+RUNS = "id long, text_hash long, start int, n int, lead int, gram long, whole long"
+BLOCKS = "id long, text_hash long, start int, n int, single boolean, core long, whole long"
+WINDOWS = "id long, text_hash long, start int, single boolean, core long, whole long"
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -115,15 +122,14 @@ def windows_in(starts: np.ndarray, i: int, j: int, begin: int, end: int, length:
 
 
 def runs_of(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """row, start, n, gram hash and two run hashes of the runs of windows of many texts."""
-    first, second = hashers()
-    found = [tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.int64, np.int64, np.int64))]
+    """row, start, n, lead (offset of the gram to the first window), gram hash and hash of all bytes of the runs of many texts."""
+    hasher = hashing()
+    found = [tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.int32, np.int64, np.int64))]
     for i, j, begin, end in segments(starts, length):
         if end - begin < length:
             continue
-        own = data[begin:end]
-        one, two = first.sums(own), second.sums(own)
-        grams = first.every(one, gram)
+        sums = hasher.sums(data[begin:end])
+        grams = hasher.every(sums, gram)
         leads = leftmost_minima(grams, length - gram + 1)
         row, within = windows_in(starts, i, j, begin, end, length)
         new = np.ones(len(leads), bool)
@@ -131,25 +137,24 @@ def runs_of(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tup
         at = np.flatnonzero(new)
         count = np.add.reduceat(within.astype(np.int64), at)
         at, n = at[within[at]], count[within[at]]
-        stop = at + n - 1 + length
         found.append((
-            row[at], (at + begin - starts[row[at]]).astype(np.int32), n.astype(np.int32), grams[leads[at]].view(np.int64),
-            first.some(one, at, stop).view(np.int64), second.some(two, at, stop).view(np.int64),
+            row[at], (at + begin - starts[row[at]]).astype(np.int32), n.astype(np.int32), (leads[at] - at).astype(np.int32),
+            grams[leads[at]].view(np.int64), hasher.some(sums, at, at + n - 1 + length).view(np.int64),
         ))
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
-_HASHERS: list[Hasher] = []
+_HASHER: list[Hasher] = []
 
 
-def hashers() -> list[Hasher]:
-    if not _HASHERS:
-        _HASHERS.extend(Hasher(seed, SEGMENT) for seed in (1, 2))
-    return _HASHERS
+def hashing() -> Hasher:
+    if not _HASHER:
+        _HASHER.append(Hasher(1, SEGMENT))
+    return _HASHER[0]
 
 
 def places(docs: DataFrame) -> DataFrame:
-    """id, text_hash, text: null doc_ids and texts as -1 and empty."""
+    """id (null as -1), text_hash, doc_id, text (null as empty)."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("id"), F.xxhash64(text).alias("text_hash"), "doc_id", text.alias("text"))
 
@@ -168,62 +173,80 @@ def all_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     return places(docs).select("id", "text_hash", "text").mapInArrow(find, RUNS)
 
 
-def run_kinds(runs: DataFrame) -> DataFrame:
-    """Different runs with the number of their places (c), one place, and how many kinds their gram leads (kinds)."""
-    kinds = runs.groupBy("gram", "n", "run1", "run2").agg(
-        F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("id", "text_hash", "start")]
-    )
-    return stored(kinds, "kinds")
+def settled(table: DataFrame, outer: str, inner: str, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """One pass over stretches (id, text_hash, start, n, single): equal in `outer` is a group, equal in `inner` too a kind.
+
+    Gives the single ones whose kind occurs more than once, and one of each kind of the groups that have several kinds, as
+    long as a single one is among them; these stay single if their kind occurs once.
+    """
+    place = ("id", "text_hash", "start", "n", *more)
+    kinds = table.groupBy(outer, inner).agg(F.count(F.lit(1)).alias("c"), F.max("single").alias("any"), *[F.first(x).alias(x) for x in place])
+    kinds = stored(kinds.withColumn("single", F.col("any") & (F.col("c") == 1)).drop("any"), "kinds")
+    repeated = table.filter("single").join(kinds.filter("c > 1").select(outer, inner), [outer, inner], "left_semi").select("id", "text_hash", "start", "n")
+    groups = kinds.groupBy(outer).agg(F.count(F.lit(1)).alias("kinds"), F.max("single").alias("open")).filter("kinds > 1 and open").select(outer)
+    return repeated, kinds.join(groups, outer, "left_semi").select(*place, "single", outer)
 
 
-def windows_of(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
-    """The hash of each window of the chosen runs (id, text_hash, start, n, single)."""
+def expanded(docs: DataFrame, chosen: DataFrame, cut, schema: str) -> DataFrame:
+    """What `cut` makes of each chosen stretch (a struct) and the bytes of its text: columns after id and text_hash."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = hashers()
-        names = [c.split()[0] for c in WINDOWS.split(", ")]
         for batch in batches:
             for part in slices(batch, "text", BATCH):
                 data, starts = byte_runs(part.column("text"))
-                found, size = [], 0
-                for i, own in enumerate(part.column("runs").to_pylist()):
-                    for run in own:
-                        n, at = run["n"], run["start"] + int(starts[i])
-                        window = data[at : at + n - 1 + length]
-                        h = [x.every(x.sums(window), length).view(np.int64) for x in (first, second)]
-                        found.append((i, run["start"], n, run["single"], *h))
-                        size += n
-                        if size >= WINDOWS_AT_ONCE:
-                            yield _window_rows(part, found, names)
-                            found, size = [], 0
-                if found:
-                    yield _window_rows(part, found, names)
-
-    lists = chosen.groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "n", "single")).alias("runs"))
-    return places(docs).join(lists, ["id", "text_hash"]).select("id", "text_hash", "text", "runs").mapInArrow(expand, WINDOWS)
-
-
-def _window_rows(part: pa.RecordBatch, found: list[tuple], names: list[str]) -> pa.RecordBatch:
-    row, start, n, single = (np.array(c) for c in list(zip(*found, strict=True))[:4])
-    ends = np.cumsum(n)
-    at = np.arange(ends[-1]) + np.repeat(start - (ends - n), n)
-    ids = [part.column(c).to_numpy(zero_copy_only=False)[np.repeat(row, n)] for c in ("id", "text_hash")]
-    hashes = [np.concatenate([f[k] for f in found]) for k in (4, 5)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (*ids, at.astype(np.int32), np.repeat(single, n), *hashes)], names)
+                found, rows, size = [], [], 0
+                lists = part.column("own").to_pylist()
+                for i, own in enumerate(lists):
+                    for stretch in own:
+                        found.append(cut(data[starts[i] : starts[i + 1]], stretch))
+                        rows.append(np.full(len(found[-1][0]), i))
+                        size += len(rows[-1])
+                    if found and (size >= ROWS or i == len(lists) - 1):
+                        row = np.concatenate(rows)
+                        ids = [part.column(c).to_numpy(zero_copy_only=False)[row] for c in ("id", "text_hash")]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*ids, *map(np.concatenate, zip(*found, strict=True)))], names)
+                        found, rows, size = [], [], 0
+
+    own = [c for c in chosen.columns if c not in ("id", "text_hash")]
+    lists = chosen.groupBy("id", "text_hash").agg(F.collect_list(F.struct(*own)).alias("own"))
+    return places(docs).join(lists, ["id", "text_hash"]).select("id", "text_hash", "text", "own").mapInArrow(expand, schema)
+
+
+def blocks_of(text: np.ndarray, run: dict, length: int) -> tuple[np.ndarray, ...]:
+    """start, n, single, core and whole of the blocks of a run."""
+    start, n, lead = run["start"], run["n"], run["lead"]
+    hasher = hashing()
+    b = np.arange((lead - n + 1) // BLOCK, lead // BLOCK + 1)[::-1]
+    last = start + lead - b * BLOCK  # the window of the block's least offset, where its core begins
+    low, high = np.maximum(last - BLOCK + 1, start), np.minimum(last, start + n - 1)
+    sums = hasher.sums(text[start : start + n - 1 + length])
+    core = hasher.some(sums, last - start, last - BLOCK + 1 + length - start)
+    core = mixed(core ^ mixed(b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.array([run["gram"]]).view(np.uint64)))
+    whole = mixed(hasher.some(sums, low - start, high + length - start) ^ (high - low + BLOCK * (last - low)).astype(np.uint64))
+    return low.astype(np.int32), (high - low + 1).astype(np.int32), np.full(len(b), run["single"]), core.view(np.int64), whole.view(np.int64)
+
+
+def windows_of(text: np.ndarray, block: dict, length: int) -> tuple[np.ndarray, ...]:
+    """start, single, core and hash of the windows of a block."""
+    start, n = block["start"], block["n"]
+    hasher = hashing()
+    h = hasher.every(hasher.sums(text[start : start + n - 1 + length]), length)
+    return np.arange(start, start + n, dtype=np.int32), np.full(n, block["single"]), np.full(n, block["core"]), h.view(np.int64)
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """id, text_hash, start, n: stretches of n neighbouring window starts whose windows occur more than once."""
     runs = stored(all_runs(docs, length, gram), "runs")
-    kinds = run_kinds(runs)
-    key = ["gram", "n", "run1", "run2"]
-    whole = runs.join(kinds.filter("c > 1").select(key), key, "left_semi").select("id", "text_hash", "start", "n")
-    contested = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    chosen = kinds.join(contested, "gram", "left_semi").select("id", "text_hash", "start", "n", (F.col("c") == 1).alias("single"))
-    windows = windows_of(docs, chosen, length)
-    equal = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    met = windows.filter("single").join(equal, ["h1", "h2"], "left_semi")
-    return whole.unionByName(met.select("id", "text_hash", F.col("at").alias("start"), F.lit(1).alias("n")))
+    again = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram")
+    runs = stored(runs.join(again, "gram", "left_semi").withColumn("single", F.lit(True)), "led")
+    whole_runs, chosen = settled(runs, "gram", "whole", ("lead",))
+    blocks = stored(expanded(docs, chosen, lambda text, run: blocks_of(text, run, length), BLOCKS), "blocks")
+    whole_blocks, chosen = settled(blocks, "core", "whole")
+    windows = expanded(docs, chosen, lambda text, block: windows_of(text, block, length), WINDOWS)
+    equal = windows.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core", "whole")
+    met = windows.filter("single").join(equal, ["core", "whole"], "left_semi")
+    return whole_runs.unionByName(whole_blocks).unionByName(met.select("id", "text_hash", "start", F.lit(1).alias("n")))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
