@@ -9,7 +9,7 @@ from checks import bindings as b
 from checks.registry import check
 from tallyshelf import schemas
 from tallyshelf.functions.text import list_literal, normalize_title, strip_list_marks
-from tallyshelf.functions.values import minutes_to_hours, to_date, to_number
+from tallyshelf.functions.values import minutes_to_hours, to_date, to_number, to_whole
 from tallyshelf.operators import cleaning, nested, shape
 from tallyshelf.plans import tables
 from tallyshelf.session import fresh_path
@@ -58,7 +58,7 @@ def read_csv(spark, sf):
     path = fresh_path(spark, "documents")
     docs = b.table(spark, sf, "documents")
     files.write_csv(docs, path)
-    return files.read_csv(spark, path, docs.schema)
+    return files.read_csv(spark, path, docs.schema, multi_line=True)
 
 
 RAGGED = T.StructType(
@@ -219,9 +219,9 @@ def recommended_only(spark, sf):
     return shape.recommended_only(b.reviews(spark, sf)).select("user_id", "item_id", "sentiment_analysis")
 
 
-@check(f"WITH {b.ITEMS} SELECT * FROM items WHERE playtime_forever > 0")
+@check(f"WITH {b.ITEMS} SELECT user_id, item_id, item_name, playtime_forever - 50 AS playtime_forever FROM items WHERE playtime_forever > 50")
 def positive_playtime(spark, sf):
-    return shape.positive_playtime(b.items(spark, sf))
+    return shape.positive_playtime(b.items(spark, sf).withColumn("playtime_forever", F.col("playtime_forever") - 50))
 
 
 @check(f"WITH {b.GAMES_TYPED} SELECT id, title, price FROM games_typed WHERE release_date IS NULL")
@@ -304,6 +304,24 @@ def map_price_text(spark, sf):
     return cleaning.map_price(b.games_raw(spark, sf).select("id", "price"))
 
 
+# The price texts and what they stand for, in SQL; the plain texts that mean "free" are 0.
+PRICED = {"Starting at $499.00": "499.0", "Starting at $449.00": "449.0", "Free To Play": "0", "Install Now": "0",
+    "Play WARMACHINE: Tactics Demo": "0", "Free Mod": "0", "Install Theme": "0", "Third-party": "0", "Free HITMAN™ Holiday Pack": "0",
+    "Play Now": "0", "Free to Try": "0", "Free Movie": "0", "Free to Use": "0", "Free to Play": "0", "Free": "0", "Free Demo": "0",
+    "Play the Demo": "0", "Play for Free!": "0"}
+PRICED_SQL = "[" + ", ".join(f"'{text}'" for text in PRICED) + "]"
+
+
+@check(
+    f"""SELECT p_partkey AS id, CASE {" ".join(f"WHEN text = '{t}' THEN '{n}'" for t, n in PRICED.items())} ELSE text END AS price
+    FROM (SELECT p_partkey, coalesce({PRICED_SQL}[p_partkey % 20 + 1], CAST(p_partkey AS VARCHAR)) AS text FROM part)"""
+)
+def map_every_price_text(spark, sf):
+    text = F.get(F.array(*map(F.lit, PRICED)), (F.col("p_partkey") % 20).cast("int"))
+    rows = b.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.coalesce(text, F.col("p_partkey").cast("string")).alias("price"))
+    return cleaning.map_price(rows)
+
+
 @check(f"WITH {b.GAMES_RAW} SELECT CAST(id AS VARCHAR) AS id, try_cast(price AS DOUBLE) AS price FROM games_raw")
 def to_number_or_null(spark, sf):
     return b.games_raw(spark, sf).select("id", to_number(F.col("price")).alias("price"))
@@ -382,6 +400,40 @@ def build_model_table(spark, sf):
     return tables.model_table(b.games(spark, sf))
 
 
-@check(f"WITH {b.GAMES} SELECT id, count(*) AS n FROM games GROUP BY id HAVING count(*) > 1")
+@check(f"WITH {b.GAMES} SELECT id // 3 AS id, count(*) AS n FROM games GROUP BY id // 3 HAVING count(*) > 1")
 def repeated_ids(spark, sf):
-    return tables.repeated_ids(b.games(spark, sf))
+    return tables.repeated_ids(b.games(spark, sf).withColumn("id", F.floor(F.col("id") / 3)))
+
+
+@check(
+    """SELECT 'u' || doc_id AS user_id, 'a' || doc_id AS item_id, CAST(2 AS BIGINT) AS copies
+    FROM documents WHERE doc_id % 41 <> 0 AND doc_id % 43 = 0"""
+)
+def reviews_with_unreadable_id(spark, sf):
+    rows = tables.with_unreadable_id(tables.flat_reviews(b.review_lines(spark, sf)), "item_id")
+    return rows.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def _worse(column: str, key: str):
+    """Ids as text: some with a fraction, some no number, some none."""
+    return F.when(F.col(key) % 7 == 0, F.concat(F.col(column).cast("string"), F.lit(".0"))).when(
+        F.col(key) % 11 == 0, F.concat(F.col(column).cast("string"), F.lit(".5"))).when(F.col(key) % 13 != 0, F.col(column).cast("string"))
+
+
+@check("SELECT CAST(event_id AS VARCHAR) || '.5' AS item_id FROM events WHERE event_id % 7 <> 0 AND event_id % 11 = 0")
+def items_with_unreadable_id(spark, sf):
+    events = b.table(spark, sf, "events").select(_worse("event_id", "event_id").alias("item_id"))
+    return tables.with_unreadable_id(events, "item_id")
+
+
+@check("SELECT CAST(p_partkey AS VARCHAR) || '.5' AS id FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 11 = 0")
+def games_with_unreadable_id(spark, sf):
+    return tables.with_unreadable_id(b.table(spark, sf, "part").select(_worse("p_partkey", "p_partkey").alias("id")), "id")
+
+
+@check(
+    """SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN p_partkey WHEN p_partkey % 11 = 0 THEN NULL
+      WHEN p_partkey % 13 <> 0 THEN p_partkey END AS read FROM part"""
+)
+def to_whole_or_null(spark, sf):
+    return b.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), to_whole(_worse("p_partkey", "p_partkey")).alias("read"))

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tallyshelf.functions.text import list_literal, text_literal
 from tallyshelf.plans.tables import clean_games
 from tallyshelf.schemas import LEXICON
-from tallyshelf.sources.files import spread_small
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -21,7 +20,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def text_table(spark: SparkSession, sf: str) -> DataFrame:
     """The documents, for work on every word."""
-    return spread_small(table(spark, sf, "documents").select("doc_id", "text"))
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 # --- catalogue -------------------------------------------------------------------------------------------
@@ -39,6 +38,11 @@ def games_raw(spark: SparkSession, sf: str) -> DataFrame:
            WHEN p_partkey % 10 <> 2 THEN string(p_retailprice) END AS price""",
         """CASE WHEN p_partkey % 25 = 0 THEN 'Soon..' WHEN p_partkey % 25 = 1 THEN 'Jan 2018'
            WHEN p_partkey % 25 = 2 THEN '1/2/2018' WHEN p_partkey % 25 = 3 THEN 'Jan 4, 2018'
+           WHEN p_partkey % 125 = 5 THEN 'January 2018' WHEN p_partkey % 125 = 6 THEN 'January 4, 2018'
+           WHEN p_partkey % 125 = 7 THEN 'Jan 4 2018' WHEN p_partkey % 125 = 8 THEN '2018/01/04'
+           WHEN p_partkey % 125 = 9 THEN '20180104' WHEN p_partkey % 125 = 10 THEN '04-01-2018'
+           WHEN p_partkey % 125 = 11 THEN 'Sept 2018' WHEN p_partkey % 125 = 12 THEN '1/2/18'
+           WHEN p_partkey % 125 = 13 THEN '2018.01.04'
            WHEN p_partkey % 25 <> 4 THEN string(date_add(date'1995-01-01', int(p_partkey % 2500))) END AS release_date""",
         "CASE WHEN p_partkey % 31 <> 0 THEN p_brand END AS developer",
         "CASE WHEN p_partkey % 29 <> 0 THEN p_type END AS publisher",
@@ -62,6 +66,11 @@ games_raw AS (
       WHEN p_partkey % 10 <> 2 THEN CAST(p_retailprice AS VARCHAR) END AS price,
     CASE WHEN p_partkey % 25 = 0 THEN 'Soon..' WHEN p_partkey % 25 = 1 THEN 'Jan 2018'
       WHEN p_partkey % 25 = 2 THEN '1/2/2018' WHEN p_partkey % 25 = 3 THEN 'Jan 4, 2018'
+      WHEN p_partkey % 125 = 5 THEN 'January 2018' WHEN p_partkey % 125 = 6 THEN 'January 4, 2018'
+      WHEN p_partkey % 125 = 7 THEN 'Jan 4 2018' WHEN p_partkey % 125 = 8 THEN '2018/01/04'
+      WHEN p_partkey % 125 = 9 THEN '20180104' WHEN p_partkey % 125 = 10 THEN '04-01-2018'
+      WHEN p_partkey % 125 = 11 THEN 'Sept 2018' WHEN p_partkey % 125 = 12 THEN '1/2/18'
+      WHEN p_partkey % 125 = 13 THEN '2018.01.04'
       WHEN p_partkey % 25 <> 4 THEN CAST(DATE '1995-01-01' + CAST(p_partkey % 2500 AS INTEGER) AS VARCHAR)
       END AS release_date,
     CASE WHEN p_partkey % 31 <> 0 THEN p_brand END AS developer,
@@ -74,7 +83,10 @@ games_raw AS (
 
 PRICE = """coalesce(CASE WHEN price = 'Starting at $499.00' THEN 499.0 WHEN price = 'Free to Play' THEN 0.0
       ELSE try_cast(price AS DOUBLE) END, 0.0)"""
-RELEASED = """coalesce(try_cast(release_date AS DATE), CAST(try_strptime(release_date, '%b %Y') AS DATE),
+RELEASED = """coalesce(CASE release_date WHEN 'January 2018' THEN DATE '2018-01-01' WHEN 'January 4, 2018' THEN DATE '2018-01-04'
+        WHEN 'Jan 4 2018' THEN DATE '2018-01-04' WHEN '2018/01/04' THEN DATE '2018-01-04' WHEN '20180104' THEN DATE '2018-01-04'
+        WHEN '04-01-2018' THEN DATE '2018-04-01' WHEN 'Sept 2018' THEN DATE '2018-09-01' WHEN '1/2/18' THEN DATE '2018-01-02'
+        WHEN '2018.01.04' THEN DATE '2018-01-04' END, try_cast(release_date AS DATE), CAST(try_strptime(release_date, '%b %Y') AS DATE),
       CAST(try_strptime(release_date, '%m/%d/%Y') AS DATE), CAST(try_strptime(release_date, '%b %d, %Y') AS DATE))"""
 
 GAMES_TYPED = f"""{GAMES_RAW},
@@ -92,7 +104,7 @@ games AS (
 
 def game_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The catalogue rows as lines that mix Python and JSON words."""
-    raw = spread_small(games_raw(spark, sf))
+    raw = games_raw(spark, sf)
 
     def field(name: str):
         value = F.col(name)
@@ -187,7 +199,7 @@ def item_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("]}"),
     )
     cut = F.when(key % 97 == 0, F.expr("left(line, length(line) - 5)")).otherwise(F.col("line"))
-    events = spread_small(table(spark, sf, "events"))
+    events = table(spark, sf, "events")
     return events.select("event_id", line.alias("line")).select("event_id", cut.alias("value"))
 
 
@@ -272,7 +284,10 @@ def review_lines(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("doc_id").cast("string")
     entry = F.concat(
         F.lit("{'funny': '', 'posted': 'Posted May 1', 'last_edited': '', 'item_id': "),
-        F.when(F.col("doc_id") % 41 == 0, "None").otherwise(F.concat(F.lit("'"), key, F.lit("'"))),
+        F.when(F.col("doc_id") % 41 == 0, "None")
+        .when(F.col("doc_id") % 43 == 0, F.concat(F.lit("'a"), key, F.lit("'")))
+        .when(F.col("doc_id") % 47 == 0, F.concat(F.lit("'"), key, F.lit(".0'")))
+        .otherwise(F.concat(F.lit("'"), key, F.lit("'"))),
         F.lit(", 'recommend': "),
         F.coalesce(F.initcap(F.col("recommend").cast("string")), F.lit("None")),
         F.lit(", 'review': "),

@@ -14,8 +14,17 @@ GR = f"{b.GAMES}, {b.REVIEWS}"
 GI = f"{b.GAMES}, {b.ITEMS}"
 
 
-def exact(total: str) -> str:
-    return f"coalesce(CAST(sum(CAST({total} AS DECIMAL(18,4))) AS DOUBLE), 0)"
+def total(number: str) -> str:
+    return f"coalesce(sum({number}), 0)"
+
+
+def six(number: str) -> str:
+    return f"round({number}, 6)"
+
+
+def rounded(df, *names):
+    """Sums of doubles to six digits, as their last ones depend on the order of rows."""
+    return df.withColumns({name: F.round(name, 6) for name in names})
 
 
 def percent(part: str, whole: str) -> str:
@@ -77,30 +86,30 @@ def percentage_2dp(spark, sf):
 
 
 @check(
-    f"""WITH {GR} SELECT {exact('price')} AS money, count(item_id) AS items, count(recommend) AS rated,
+    f"""WITH {GR} SELECT {six(total('price'))} AS money, count(item_id) AS items, count(recommend) AS rated,
     count(*) FILTER (WHERE recommend) AS recommended FROM reviews LEFT JOIN games ON item_id = id"""
 )
 def global_sum_count(spark, sf):
     joined = joins.reviews_left_games(b.reviews(spark, sf), b.games(spark, sf).select("id", "price"))
-    return grouping.spend_totals(joined, [])
+    return rounded(grouping.spend_totals(joined, []), "money")
 
 
 @check(
-    f"""WITH {GI} SELECT user_id, year, {exact('playtime_forever')} AS minutes
+    f"""WITH {GI} SELECT user_id, year, {six(total('playtime_forever'))} AS minutes
     FROM items JOIN games ON item_id = id GROUP BY user_id, year"""
 )
 def sum_by_user_year(spark, sf):
     joined = joins.items_left_games(b.items(spark, sf), b.games(spark, sf).select("id", "year"))
-    return grouping.sum_minutes(joined, ["user_id", "year"])
+    return rounded(grouping.sum_minutes(joined, ["user_id", "year"]), "minutes")
 
 
 @check(
-    f"""WITH {b.ITEMS}, t AS (SELECT item_name, user_id, {exact('playtime_forever')} AS minutes FROM items GROUP BY ALL)
+    f"""WITH {b.ITEMS}, t AS (SELECT item_name, user_id, {six(total('playtime_forever'))} AS minutes FROM items GROUP BY ALL)
     SELECT item_name, user_id, minutes FROM t
     QUALIFY row_number() OVER (PARTITION BY item_name ORDER BY minutes DESC, user_id) = 1"""
 )
 def argmax_user(spark, sf):
-    minutes = grouping.sum_minutes(b.items(spark, sf), ["item_name", "user_id"])
+    minutes = rounded(grouping.sum_minutes(b.items(spark, sf), ["item_name", "user_id"]), "minutes")
     return grouping.largest_per_group(minutes, ["item_name"], "minutes", "user_id")
 
 
@@ -138,12 +147,12 @@ def distinct_counts(spark, sf):
 
 @check(
     f"""WITH {GI}, g AS (SELECT id, year, unnest(genres) AS genre FROM games)
-    SELECT year, genre, {exact('playtime_forever')} AS minutes FROM items JOIN g ON item_id = id GROUP BY year, genre"""
+    SELECT year, genre, {six(total('playtime_forever'))} AS minutes FROM items JOIN g ON item_id = id GROUP BY year, genre"""
 )
 def sum_by_year_genre(spark, sf):
     joined = joins.items_left_games(b.items(spark, sf), b.games(spark, sf).select("id", "year", "genres"))
     each = nested.explode_genres(joined).withColumnRenamed("genres", "genre")
-    return grouping.sum_minutes(each, ["year", "genre"])
+    return rounded(grouping.sum_minutes(each, ["year", "genre"]), "minutes")
 
 
 @check(
@@ -274,9 +283,15 @@ def iqr_outliers(spark, sf):
     return profiling.iqr_outliers(b.table(spark, sf, "events"), "value").select("event_id", "user_id", "value")
 
 
-@check(f"WITH {b.GAMES} {_outliers('id, title, price', 'games', 'price')}")
+# prices of which one in forty is far above the others
+STEEP = "steep AS (SELECT id, title, CASE WHEN id % 40 = 1 THEN price * 100 + 5000 ELSE price END AS price FROM games)"
+
+
+@check(f"WITH {b.GAMES}, {STEEP} {_outliers('id, title, price', 'steep', 'price')}")
 def iqr_outliers_price(spark, sf):
-    return profiling.iqr_outliers(b.games(spark, sf), "price").select("id", "title", "price")
+    steep = F.when(F.col("id") % 40 == 1, F.col("price") * 100 + 5000).otherwise(F.col("price"))
+    games = b.games(spark, sf).withColumn("price", steep)
+    return profiling.iqr_outliers(games, "price").select("id", "title", "price")
 
 
 # --- questions -------------------------------------------------------------------------------------------
@@ -298,7 +313,7 @@ def developer_yearly_free_one(spark, sf):
 
 
 SPEND = f"""spend AS (
-  SELECT user_id, {exact('price')} AS money,
+  SELECT user_id, {six(total('price'))} AS money,
     coalesce({percent('count(*) FILTER (WHERE recommend)', 'nullif(count(recommend), 0)')}, 0) AS recommend_percentage,
     count(item_id) AS items
   FROM reviews LEFT JOIN games ON item_id = id GROUP BY user_id)"""
@@ -306,31 +321,31 @@ SPEND = f"""spend AS (
 
 @check(f"WITH {GR}, {SPEND} SELECT * FROM spend")
 def user_spend_profile(spark, sf):
-    return answers.user_spend_profile(b.reviews(spark, sf), b.games(spark, sf))
+    return rounded(answers.user_spend_profile(b.reviews(spark, sf), b.games(spark, sf)), "money")
 
 
 @check(f"WITH {GR}, {SPEND} SELECT * FROM spend WHERE user_id = '10'")
 def user_spend_profile_one(spark, sf):
-    return answers.user_spend_profile(b.reviews(spark, sf), b.games(spark, sf), "10")
+    return rounded(answers.user_spend_profile(b.reviews(spark, sf), b.games(spark, sf), "10"), "money")
 
 
 TOP_USER = f"""per_year AS (
-  SELECT genre, user_id, year, {exact('playtime_forever')} AS minutes
+  SELECT genre, user_id, year, {total('playtime_forever')} AS minutes
   FROM items JOIN by_genre ON item_id = id GROUP BY ALL),
 leader AS (
   SELECT genre, user_id FROM (SELECT genre, user_id, sum(minutes) AS total FROM per_year GROUP BY ALL)
   QUALIFY row_number() OVER (PARTITION BY genre ORDER BY round(total, 4) DESC, user_id) = 1)
-SELECT genre, user_id, year, minutes / 60 AS hours FROM per_year JOIN leader USING (genre, user_id)"""
+SELECT genre, user_id, year, round(minutes / 60, 6) AS hours FROM per_year JOIN leader USING (genre, user_id)"""
 
 
 @check(f"WITH {GI}, by_genre AS (SELECT id, year, unnest(genres) AS genre FROM games), {TOP_USER}")
 def genre_top_user(spark, sf):
-    return answers.genre_top_user(b.items(spark, sf), b.games(spark, sf))
+    return rounded(answers.genre_top_user(b.items(spark, sf), b.games(spark, sf)), "hours")
 
 
 @check(f"WITH {GI}, by_genre AS (SELECT id, year, 'gizmo' AS genre FROM games WHERE list_contains(genres, 'gizmo')), {TOP_USER}")
 def genre_top_user_one(spark, sf):
-    return answers.genre_top_user(b.items(spark, sf), b.games(spark, sf), "Gizmo")
+    return rounded(answers.genre_top_user(b.items(spark, sf), b.games(spark, sf), "Gizmo"), "hours")
 
 
 @check(
@@ -338,7 +353,7 @@ def genre_top_user_one(spark, sf):
       WHERE regexp_matches(array_to_string(genres, ', '), '(?i)r[ei]')), {TOP_USER}"""
 )
 def genre_top_user_regex(spark, sf):
-    return answers.genre_top_user_regex(b.items(spark, sf), b.games(spark, sf), "r[ei]")
+    return rounded(answers.genre_top_user_regex(b.items(spark, sf), b.games(spark, sf), "r[ei]"), "hours")
 
 
 BEST = """counts AS (
@@ -409,8 +424,8 @@ def top20_games_by_developer(spark, sf):
 
 @check(
     f"""WITH {GI}, g AS (SELECT id, year, unnest(genres) AS genre FROM games)
-    SELECT year, genre, {exact('playtime_forever')} / 60 AS hours FROM items JOIN g ON item_id = id
+    SELECT year, genre, round({total('playtime_forever')} / 60, 6) AS hours FROM items JOIN g ON item_id = id
     WHERE playtime_forever > 0 GROUP BY year, genre"""
 )
 def hours_by_genre_year(spark, sf):
-    return answers.hours_by_genre_year(b.items(spark, sf), b.games(spark, sf))
+    return rounded(answers.hours_by_genre_year(b.items(spark, sf), b.games(spark, sf)), "hours")

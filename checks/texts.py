@@ -21,11 +21,11 @@ def _quoted(words: list[str]) -> str:
 def _step(value: str, near: str, weight: float) -> str:
     """SQL of one preceding word's effect on a valence."""
     word = f"lower({near})"
-    loud = f"""(CASE WHEN mixed AND upper({near}) = {near} AND lower({near}) <> {near}
-      THEN {sentiment.BOOST + sentiment.CAPITALS} ELSE {sentiment.BOOST} END * {weight})"""
-    push = f"""CASE WHEN {word} IN ({_quoted(sentiment.INTENSIFIERS)}) THEN {loud}
-      WHEN {word} IN ({_quoted(sentiment.DAMPENERS)}) THEN -{loud} ELSE 0 END"""
-    turn = f"CASE WHEN {word} IN ({_quoted(sentiment.NEGATORS)}) OR contains({word}, 'n''t') THEN {sentiment.NEGATION} ELSE 1 END"
+    loud = f"(CASE WHEN mixed AND upper({near}) = {near} AND lower({near}) <> {near} THEN 0.733 ELSE 0 END)"
+    known = f"{word} IN (SELECT token FROM lexicon)"
+    push = f"""CASE WHEN {known} THEN 0 WHEN {word} IN ({_quoted(sentiment.INTENSIFIERS)}) THEN (0.293 + {loud}) * {weight}
+      WHEN {word} IN ({_quoted(sentiment.DAMPENERS)}) THEN ({loud} - 0.293) * {weight} ELSE 0 END"""
+    turn = f"""CASE WHEN {known} THEN 1 WHEN {word} IN ({_quoted(sentiment.NEGATORS)}) OR contains({word}, 'n''t') THEN -0.74 ELSE 1 END"""
     return f"({value} + sign({value}) * ({push})) * ({turn})"
 
 
@@ -50,7 +50,7 @@ v0 AS (
     + f"""CASE WHEN lower(w0) IN ({_quoted(sentiment.INTENSIFIERS + sentiment.DAMPENERS)}) THEN 0 ELSE valence END AS base
   FROM near JOIN lexicon ON lower(w0) = token),
 v1 AS (
-  SELECT *, base + CASE WHEN mixed AND upper(w0) = w0 AND lower(w0) <> w0 THEN sign(base) * {sentiment.CAPITALS} ELSE 0 END AS a
+  SELECT *, base + CASE WHEN mixed AND upper(w0) = w0 AND lower(w0) <> w0 THEN sign(base) * 0.733 ELSE 0 END AS a
   FROM v0),
 v2 AS (SELECT *, {_step('a', 'w1', 1.0)} AS d1 FROM v1),
 v3 AS (SELECT *, {_step('d1', 'w2', 0.95)} AS d2 FROM v2),
@@ -85,12 +85,24 @@ def sentiment_label(spark, sf):
       CASE WHEN doc_id % 13 <> 0 THEN text ELSE 'no data' END AS review,
       CAST(CASE WHEN doc_id % 13 = 0 THEN 1 WHEN quality <> 1 THEN 0 WHEN polarity > 0 THEN 2 WHEN polarity < 0 THEN 0
         ELSE 1 END AS INTEGER) AS sentiment_analysis
-    FROM polarity JOIN documents ON key = documents.doc_id LEFT JOIN labels USING (doc_id) WHERE doc_id % 41 <> 0"""
+    FROM polarity JOIN documents ON key = documents.doc_id LEFT JOIN labels USING (doc_id) WHERE doc_id % 41 <> 0 AND doc_id % 43 <> 0"""
 )
 def clean_reviews(spark, sf):
     return tables.clean_reviews(tables.flat_reviews(b.review_lines(spark, sf)), b.lexicon(spark))
 
 
+@check(
+    f"""WITH texts AS (SELECT doc_id AS key, CASE WHEN doc_id % 13 <> 0 THEN text ELSE 'no data' END AS text FROM documents), {POLARITY}
+    SELECT 'u' || doc_id AS user_id, doc_id AS item_id, quality = 1 AS recommend, texts.text AS review,
+      CAST(CASE WHEN quality <> 1 THEN 0 WHEN polarity > 0 THEN 2 WHEN polarity < 0 THEN 0 ELSE 1 END AS INTEGER) AS sentiment_analysis
+    FROM polarity JOIN texts ON texts.key = polarity.key JOIN documents ON texts.key = documents.doc_id LEFT JOIN labels USING (doc_id)
+    WHERE doc_id % 41 <> 0 AND doc_id % 43 <> 0"""
+)
+def clean_reviews_sentinel(spark, sf):
+    """Missing texts are filled before they are scored."""
+    return tables.clean_reviews(tables.flat_reviews(b.review_lines(spark, sf)), b.lexicon(spark), sentinel_first=True)
+
+
 # --- term weights and neighbours --------------------------------------------------------------------------
 
 WEIGHTS = r"""tf AS (
@@ -121,10 +133,12 @@ def tfidf_vectors(spark, sf):
     return vectors.select("id", "term", "df", F.round("weight", 6).alias("weight"))
 
 
-@check(f"WITH {DOCS}, {WEIGHTS}, wanted AS (SELECT id FROM docs), {NEAREST} SELECT * FROM nearest")
+@check(f"WITH {DOCS}, {WEIGHTS}, wanted AS (SELECT id FROM docs WHERE id % 20 = 0), {NEAREST} SELECT * FROM nearest")
 def knn_cosine(spark, sf):
+    """The nearest documents of a list of requested ones."""
     docs = b.documents(spark, sf)
-    return neighbours.nearest_all(docs, _stored(spark, tfidf.tfidf_vectors(docs)))
+    wanted = docs.select("id").where("id % 20 = 0")
+    return neighbours.nearest_to(docs.select("id"), _stored(spark, tfidf.tfidf_vectors(docs)), wanted)
 
 
 MODEL = f"""{b.GAMES}, model AS (
@@ -165,11 +179,6 @@ def similar_titles_requested(spark, sf):
     return similar.similar_to_titles(*_model(spark, sf), titles)
 
 
-@check(f"WITH {MODEL}, {WEIGHTS}, wanted AS (SELECT id FROM docs), {NEAREST} {TITLED}")
-def similar_titles_all(spark, sf):
-    return similar.similar_titles_all(*_model(spark, sf))
-
-
 # --- word counts -----------------------------------------------------------------------------------------
 
 # stop words of the checks

@@ -26,8 +26,12 @@ FREE_TEXTS = [
     "Play for Free!",
 ]
 
-# Accepted date formats, tried in this order after the ISO forms.
-DATE_FORMATS = ["MMM yyyy", "M/d/yyyy", "MMM d, yyyy", "d MMM, yyyy"]
+# Accepted date formats, tried in this order after the ISO forms; the month comes first where both fit.
+DATE_FORMATS = [
+    "yyyy/M/d", "yyyy.M.d", "yyyyMMdd", "MMM yyyy", "MMMM yyyy", "M/d/yyyy", "M-d-yyyy", "M/d/yy", "MMM d, yyyy", "MMMM d, yyyy",
+    "MMM d yyyy", "MMMM d yyyy", "d MMM, yyyy", "d MMM yyyy",
+]
+WHOLE = r"^\s*([-+]?[0-9]{1,18})(?:\.0*)?\s*$"
 
 NUMBER = r"^\s*[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?\s*$"
 
@@ -38,6 +42,11 @@ def to_number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
 
 
+def to_whole(text: Column) -> Column:
+    """Text to bigint, also with a fraction of zeros; null where it is not a whole number of up to 18 digits."""
+    return F.nullif(F.regexp_extract(text.cast("string"), WHOLE, 1), F.lit("")).try_cast("bigint")
+
+
 def nan_to_null(number: Column) -> Column:
     return F.when(~F.isnan(number), number)
 
@@ -52,9 +61,9 @@ def map_price_text(price: Column) -> Column:
 
 def to_date(text: Column) -> Column:
     """Text to date by the ISO forms, then by DATE_FORMATS; null where none fits."""
-    text = F.trim(text)
-    parsed = [F.try_to_timestamp(text, F.lit(fmt)).cast("date") for fmt in DATE_FORMATS]
-    return F.coalesce(text.try_cast("date"), *parsed)
+    text = F.regexp_replace(F.trim(text), r"(?i)\bsept\b", "Sep")
+    parsed = F.try_to_timestamp(text, F.lit("".join(f"[{fmt}]" for fmt in DATE_FORMATS)))
+    return F.coalesce(text.try_cast("date"), parsed.cast("date"))
 
 
 def share_percent(part: Column, whole: Column) -> Column:
@@ -62,9 +71,9 @@ def share_percent(part: Column, whole: Column) -> Column:
     return F.rint(F.try_divide(part.cast("double"), whole.cast("double")) * 100 * 100) / 100
 
 
-def exact_sum(number: Column) -> Column:
-    """Sum that does not depend on the order of the rows; 0 for no value at all."""
-    return F.coalesce(F.sum(number.cast("decimal(18,4)")).cast("double"), F.lit(0.0))
+def total(number: Column) -> Column:
+    """Sum in the number's own type, 0 for no value at all. Sums of doubles depend on the order of rows in their last digits."""
+    return F.coalesce(F.sum(number), F.lit(0))
 
 
 def minutes_to_hours(minutes: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyshelf.functions.values import exact_sum, share_percent
+from tallyshelf.functions.values import share_percent, total
 
 
 def count_and_zero_count(df: DataFrame, keys: list[str], counted: str, amount: str) -> DataFrame:
@@ -21,7 +21,7 @@ def add_percentage(df: DataFrame, part: str, whole: str, name: str) -> DataFrame
 def spend_totals(df: DataFrame, keys: list[str]) -> DataFrame:
     """Money, items, and given and positive recommendations per key; no key gives one row."""
     return df.groupBy(*keys).agg(
-        exact_sum(F.col("price")).alias("money"),
+        total(F.col("price")).alias("money"),
         F.count("item_id").alias("items"),
         F.count("recommend").alias("rated"),
         F.count_if("recommend").alias("recommended"),
@@ -30,7 +30,7 @@ def spend_totals(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def sum_minutes(df: DataFrame, keys: list[str], minutes: str = "playtime_forever") -> DataFrame:
     """Minutes per key; rows with a null key are left out."""
-    return df.na.drop("any", subset=keys).groupBy(*keys).agg(exact_sum(F.col(minutes)).alias("minutes"))
+    return df.na.drop("any", subset=keys).groupBy(*keys).agg(total(F.col(minutes)).alias("minutes"))
 
 
 def largest_per_group(df: DataFrame, group: list[str], amount: str, tie: str) -> DataFrame:

@@ -33,6 +33,10 @@ def games_left_reviews(games: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def top_left_labels(top: DataFrame, games: DataFrame, label: str) -> DataFrame:
-    """A short ranking by item with a column of the game added."""
-    labels = games.select(F.col("id").alias("item_id"), label)
+    """A short ranking by item with a column of the game added; only the games of the ranking are moved.
+
+    The ranking, a few rows by its k, is broadcast.
+    """
+    wanted = F.broadcast(top.select("item_id").distinct())
+    labels = games.select(F.col("id").alias("item_id"), label).join(wanted, "item_id", "left_semi")
     return top.join(labels, "item_id", "left")

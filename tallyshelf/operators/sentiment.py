@@ -22,9 +22,10 @@ BEFORE_BUT = 0.5
 AFTER_BUT = 1.5
 
 NEGATORS = [
-    "no", "not", "nor", "never", "none", "nobody", "nothing", "nowhere", "neither", "cannot", "without",
-    "rarely", "seldom", "despite", "aint", "arent", "cant", "couldnt", "didnt", "doesnt", "dont", "hadnt",
-    "hasnt", "havent", "isnt", "mightnt", "mustnt", "neednt", "shouldnt", "wasnt", "werent", "wont", "wouldnt",
+    "not", "nor", "never", "none", "nope", "nothing", "nowhere", "neither", "cannot", "without",
+    "rarely", "seldom", "despite", "aint", "arent", "cant", "couldnt", "darent", "didnt", "doesnt", "dont", "hadnt",
+    "hasnt", "havent", "isnt", "mightnt", "mustnt", "neednt", "oughtnt", "shant", "shouldnt", "uhuh", "wasnt", "werent",
+    "wont", "wouldnt",
 ]
 INTENSIFIERS = [
     "absolutely", "amazingly", "awfully", "completely", "considerably", "decidedly", "deeply", "enormously",
@@ -57,13 +58,17 @@ def _shouted(word: Column) -> Column:
     return (F.upper(word) == word) & (F.lower(word) != word)
 
 
-def _neighbour_effect(neighbour: Column, mixed: Column, weight: float) -> Column:
-    """What one of the words before does: `push` away from zero, then `turn` as a factor."""
+def _neighbour_effect(neighbour: Column, mixed: Column, weight: float, scored: Column) -> Column:
+    """What one of the words before does: `push` away from zero, then `turn` as a factor.
+
+    Capitals push away from zero, also those of a dampener. A word that is `scored` itself does neither.
+    """
     word = F.lower(neighbour)
-    loud = F.when(mixed & _shouted(neighbour), F.lit(BOOST + CAPITALS)).otherwise(F.lit(BOOST)) * weight
-    push = F.when(word.isin(INTENSIFIERS), loud).when(word.isin(DAMPENERS), -loud).otherwise(F.lit(0.0))
-    turn = F.when(word.isin(NEGATORS) | word.contains("n't"), F.lit(NEGATION)).otherwise(F.lit(1.0))
-    return F.struct(push.alias("push"), turn.alias("turn"))
+    acts = ~F.array_contains(scored, word)
+    loud = F.when(mixed & _shouted(neighbour), F.lit(CAPITALS)).otherwise(F.lit(0.0))
+    push = F.when(acts & word.isin(INTENSIFIERS), loud + BOOST).when(acts & word.isin(DAMPENERS), loud - BOOST).otherwise(F.lit(0.0))
+    turn = F.when(acts & (word.isin(NEGATORS) | word.contains("n't")), F.lit(NEGATION)).otherwise(F.lit(1.0))
+    return F.struct((push * weight).alias("push"), turn.alias("turn"))
 
 
 def lexicon_polarity(texts: DataFrame, lexicon: DataFrame, keys: list[str], text: str, score: str = "polarity") -> DataFrame:
@@ -73,8 +78,11 @@ def lexicon_polarity(texts: DataFrame, lexicon: DataFrame, keys: list[str], text
 
     Each word carries the three words before it, so the rules need no window over the words of a text, and the
     words of a text are summed by the task that read it before anything is shuffled. `lexicon` (token, valence)
-    has one row per token.
+    has one row per token and is broadcast, so that the words stay where they are: a word list, some hundred kilobytes.
     """
+    # the few words with an effect of their own that the lexicon scores: at most as many as the lists hold
+    acting = F.col("token").isin(INTENSIFIERS + DAMPENERS + NEGATORS) | F.col("token").contains("n't")
+    scored = lexicon.where(acting).agg(F.collect_set("token")).scalar()
     spoken = texts.select(*keys, spoken_words(F.col(text)).alias("words"))
     spoken = spoken.select(
         *keys,
@@ -87,7 +95,8 @@ def lexicon_polarity(texts: DataFrame, lexicon: DataFrame, keys: list[str], text
         lambda word, i: F.struct(word.alias("w0"), *[F.get("words", i - d).alias(f"w{d}") for d in (1, 2, 3)]),
     )
     each = spoken.select(*keys, "but_at", "mixed", F.posexplode_outer(context).alias("at", "near"))
-    each = each.join(lexicon.select(F.col("token"), "valence"), F.lower("near.w0") == F.col("token"), "left")
+    each = each.withColumn("scored", scored)
+    each = each.join(F.broadcast(lexicon.select(F.col("token"), "valence")), F.lower("near.w0") == F.col("token"), "left")
     # known words, and the first word of each text so that no text gets lost
     each = each.where(F.col("valence").isNotNull() | (F.coalesce("at", F.lit(0)) == 0))
 
@@ -96,7 +105,7 @@ def lexicon_polarity(texts: DataFrame, lexicon: DataFrame, keys: list[str], text
     emphasis = F.when(mixed & _shouted(word), F.lit(CAPITALS)).otherwise(F.lit(0.0))
     effects = [F.struct(emphasis.alias("push"), F.lit(1.0).alias("turn"))]
     for distance, weight in enumerate(BOOST_BY_DISTANCE, 1):
-        effects.append(_neighbour_effect(F.coalesce(f"near.w{distance}", F.lit("")), mixed, weight))
+        effects.append(_neighbour_effect(F.coalesce(f"near.w{distance}", F.lit("")), mixed, weight, F.col("scored")))
     adjusted = F.aggregate(F.array(*effects), start, lambda v, e: (v + F.signum(v) * e["push"]) * e["turn"])
     spot = F.col("at") + 1
     side = F.when(F.col("but_at") == 0, 1.0).when(spot < F.col("but_at"), BEFORE_BUT).when(spot > F.col("but_at"), AFTER_BUT)

@@ -25,10 +25,6 @@ def add_release_year(df: DataFrame, date: str = "release_date") -> DataFrame:
     return df.withColumn("year", F.year(date))
 
 
-def add_hours(df: DataFrame, minutes: str = "playtime_forever") -> DataFrame:
-    return df.withColumn("hours", F.col(minutes) / 60)
-
-
 def add_normalized_title(df: DataFrame, title: str = "title") -> DataFrame:
     return df.withColumn("normalized_title", normalize_title(F.col(title)))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyshelf.functions.values import exact_sum, minutes_to_hours
+from tallyshelf.functions.values import minutes_to_hours, total
 from tallyshelf.operators import grouping, joins, nested, ranking, shape
 
 
@@ -38,9 +38,9 @@ def user_spend_profile(reviews: DataFrame, games: DataFrame, user_id: str | None
 def _top_user(played: DataFrame) -> DataFrame:
     """Per genre the user with most minutes, with the hours per release year. Wants genre, user_id, year, minutes."""
     per_year = grouping.sum_minutes(played, ["genre", "user_id", "year"])
-    total = F.round(F.sum("minutes").over(Window.partitionBy("genre", "user_id")), 4)
+    whole = F.round(F.sum("minutes").over(Window.partitionBy("genre", "user_id")), 4)
     leader = Window.partitionBy("genre").orderBy(F.desc("total"), "user_id")
-    best = per_year.withColumn("total", total).withColumn("place", F.dense_rank().over(leader)).where("place = 1")
+    best = per_year.withColumn("total", whole).withColumn("place", F.dense_rank().over(leader)).where("place = 1")
     return best.select("genre", "user_id", "year", minutes_to_hours(F.col("minutes")).alias("hours"))
 
 
@@ -55,7 +55,7 @@ def genre_top_user(items: DataFrame, games: DataFrame, genre: str | None = None)
     if genre is not None:
         games = shape.genre_token_match(games, genre).select("id", "year", F.lit(genre.strip().lower()).alias("genre"))
         return _top_user(_played(items, games))
-    games = games.select("id", "year", shape.genre_tokens(F.col("genres")).alias("genres"))
+    games = games.select("id", "year", F.array_distinct(shape.genre_tokens(F.col("genres"))).alias("genres"))
     played = _played(items, games)
     return _top_user(played.select("user_id", "year", "playtime_forever", F.explode("genres").alias("genre")))
 
@@ -134,8 +134,8 @@ def top_games_by_developer(reviews: DataFrame, games: DataFrame, k: int = 20) ->
 def hours_by_genre_year(items: DataFrame, games: DataFrame) -> DataFrame:
     """Hours played per release year and genre."""
     played = shape.positive_playtime(items).where(F.col("item_id").isNotNull())
-    minutes = played.groupBy("item_id").agg(exact_sum(F.col("playtime_forever")).alias("minutes"))
+    minutes = played.groupBy("item_id").agg(total(F.col("playtime_forever")).alias("minutes"))
     dated = games.where(F.col("release_date").isNotNull()).select("id", "genres", F.year("release_date").alias("year"))
     each = nested.explode_genres(minutes.join(dated, minutes["item_id"] == dated["id"]))
-    sums = each.groupBy("year", F.col("genres").alias("genre")).agg(exact_sum(F.col("minutes")).alias("minutes"))
+    sums = each.groupBy("year", F.col("genres").alias("genre")).agg(total(F.col("minutes")).alias("minutes"))
     return sums.select("year", "genre", minutes_to_hours(F.col("minutes")).alias("hours"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyshelf.functions.text import normalize_title
-from tallyshelf.operators.neighbours import nearest_all, nearest_to
+from tallyshelf.operators.neighbours import nearest_to
 from tallyshelf.operators.tfidf import tfidf_vectors
 
 
@@ -39,9 +39,3 @@ def similar_titles(model: DataFrame, vectors: DataFrame, title: str, k: int = 5)
     found = model.where((F.col("normalized_title") == asked) & (asked != "")).agg(F.min("id").alias("id"))
     wanted = found.where("id is not null")
     return _with_titles(F.broadcast(nearest_to(model.select("id"), vectors, wanted, k, single=True)), model)
-
-
-def similar_titles_all(model: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = 2000) -> DataFrame:
-    """The k most similar titles for every title."""
-    docs = model.select("id", F.col("description").alias("text"))
-    return _with_titles(nearest_all(docs, vectors, k, block_rows), model)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyshelf import schemas
+from tallyshelf.functions.values import to_whole
 from tallyshelf.operators import cleaning, nested, shape
 from tallyshelf.operators.sentiment import label_reviews
 from tallyshelf.sources.literals import good_records, parse_literal_records, parse_patched_records
@@ -26,15 +27,12 @@ def raw_games(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def clean_reviews(reviews: DataFrame, lexicon: DataFrame, sentinel_first: bool = False) -> DataFrame:
-    """Reviews (all fields as text) to user_id, item_id, recommend, review, sentiment_analysis."""
+    """Reviews (all fields as text) to user_id, item_id, recommend, review, sentiment_analysis.
+
+    Reviews without an item id go; `with_unreadable_id` gives those whose id is there but no whole number.
+    """
     rows = cleaning.drop_duplicates(reviews)
-    rows = shape.drop_columns(rows, ["funny", "posted", "last_edited", "user_url"])
-    rows = rows.withColumns(
-        {
-            "item_id": F.col("item_id").try_cast("bigint"),
-            "recommend": F.col("recommend").try_cast("boolean"),
-        }
-    )
+    rows = rows.withColumns({"item_id": to_whole(F.col("item_id")), "recommend": F.col("recommend").try_cast("boolean")})
     rows = cleaning.drop_null_subset(rows, ["item_id"]).select("user_id", "item_id", "recommend", "review")
     return cleaning.fill_nulls(label_reviews(rows, lexicon, sentinel_first), {"review": "no data"})
 
@@ -49,8 +47,8 @@ def clean_items(items: DataFrame) -> DataFrame:
     rows = shape.drop_rows_without_item(cleaning.drop_null_all(rows))
     rows = rows.withColumns(
         {
-            "item_id": F.col("item_id").try_cast("bigint"),
-            "playtime_forever": F.col("playtime_forever").try_cast("double").cast("bigint"),
+            "item_id": to_whole(F.col("item_id")),
+            "playtime_forever": to_whole(F.col("playtime_forever")),
         }
     )
     rows = cleaning.fill_nulls(rows, {"item_name": "no data"})
@@ -68,7 +66,7 @@ def typed_games(games: DataFrame) -> DataFrame:
     rows = cleaning.number_or_null(rows, "price")
     rows = cleaning.fill_nulls(cleaning.date_or_null(rows, "release_date"), {"price": 0.0})
     return rows.withColumns(
-        {"id": F.col("id").try_cast("bigint"), "early_access": F.col("early_access").try_cast("boolean")}
+        {"id": to_whole(F.col("id")), "early_access": F.col("early_access").try_cast("boolean")}
     )
 
 
@@ -83,6 +81,11 @@ def undated_games(games: DataFrame) -> DataFrame:
     return shape.rows_missing_key(typed_games(games), "release_date")
 
 
+def with_unreadable_id(rows: DataFrame, column: str) -> DataFrame:
+    """Rows (fields as text) whose id is there but is no whole number: the clean tables leave them out or have no id there."""
+    return rows.where(F.col(column).isNotNull() & to_whole(F.col(column)).isNull())
+
+
 def repeated_ids(games: DataFrame) -> DataFrame:
     """Ids that occur more than once; each of them would multiply its reviews in a join."""
     return games.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -90,6 +93,5 @@ def repeated_ids(games: DataFrame) -> DataFrame:
 
 def model_table(games: DataFrame, legacy_concat: bool = False) -> DataFrame:
     """id, title, normalized_title and description of the games, as the recommender reads them."""
-    rows = shape.drop_columns(games, ["publisher", "release_date", "price", "early_access", "year", "developer"])
-    rows = shape.add_normalized_title(shape.add_description(rows, legacy_concat))
+    rows = shape.add_normalized_title(shape.add_description(games, legacy_concat))
     return rows.select("id", "title", "normalized_title", "description")

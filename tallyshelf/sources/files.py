@@ -27,12 +27,12 @@ def read_gz_lines(spark: SparkSession, path: str, partitions: int | None = None)
     return lines.repartition(partitions or usual)
 
 
-def _read_text_fields(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _read_text_fields(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
     fields = [T.StructField(f.name, T.StringType()) for f in schema] + [T.StructField("_ragged", T.StringType())]
     return (
         spark.read.schema(T.StructType(fields))
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
@@ -59,34 +59,30 @@ def _too_long(schema: T.StructType) -> Column:
     return F.coalesce(flagged & (F.size(F.split(bare, ",", -1)) > len(schema)), F.lit(False))
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with header, quoted line breaks and doubled quotes. Fields that do not fit their type are null."""
-    return _read_text_fields(spark, path, schema).select(*[_typed(f) for f in schema])
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """CSV with header and doubled quotes. Fields that do not fit their type are null, a row with too many ends the job.
+
+    `multi_line` reads quoted line breaks too; a file is then one task's work, and is split otherwise.
+    """
+    error = F.raise_error(F.concat(F.lit("too many fields: "), "_ragged")).cast("boolean")
+    rows = _read_text_fields(spark, path, schema, multi_line).where(F.when(_too_long(schema), error).otherwise(True))
+    return rows.select(*[_typed(f) for f in schema])
 
 
-def read_csv_skip_long_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv_skip_long_rows(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
     """As read_csv, without the rows that have too many fields; short rows are filled with nulls."""
-    return _read_text_fields(spark, path, schema).where(~_too_long(schema)).select(*[_typed(f) for f in schema])
+    return _read_text_fields(spark, path, schema, multi_line).where(~_too_long(schema)).select(*[_typed(f) for f in schema])
 
 
-def read_csv_long_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv_long_rows(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
     """The rows that read_csv_skip_long_rows leaves out, as text."""
-    return _read_text_fields(spark, path, schema).where(_too_long(schema)).select(F.col("_ragged").alias("row"))
+    return _read_text_fields(spark, path, schema, multi_line).where(_too_long(schema)).select(F.col("_ragged").alias("row"))
 
 
 def read_parquet_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return spark.read.parquet(path).select(*columns)
 
 
-def spread_small(table: DataFrame) -> DataFrame:
-    """A table as read from files, dealt out to all cores if it has fewer splits than there are cores.
-
-    For work per row that is far dearer than moving the row. A table of many splits stays as it is.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
-
-
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated sentiment lexicon: the token, its mean valence, and further fields that are not used."""
     fields = F.split("value", "\t")

@@ -182,3 +182,16 @@ def test_a_popular_item_gives_whole_results(spark, sorted_joins):
     with sorted_joins():
         assert [rows(q()) for q in questions] == plain
     assert sum(r[3] for r in plain[0]) == n
+
+
+def test_repeated_genres_count_once_in_both_forms(spark):
+    games = spark.createDataFrame([game(1, genres=["Action", "action "]), game(2, genres=["Action"])], GAMES)
+    items = spark.createDataFrame([("a", 1, 60.0), ("b", 2, 90.0)], ITEMS)
+    assert rows(answers.genre_top_user(items, games)) == rows(answers.genre_top_user(items, games, "Action")) == [("action", "b", 2000, 1.5)]
+
+
+def test_labels_of_a_ranking_move_only_its_games(spark, sorted_joins):
+    top = spark.createDataFrame([(1, 5), (9, 4)], "item_id long, n long")
+    games = spark.createDataFrame([game(i, title=f"t{i}") for i in range(1, 9)], GAMES)
+    with sorted_joins():
+        assert rows(joins.top_left_labels(top, games, "title")) == [(1, 5, "t1"), (9, 4, None)]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.functions.text import list_items, normalize_title
 from tallyshelf.functions.values import FREE_TEXTS, share_percent, to_date, to_number
-from tallyshelf.operators import cleaning, nested, shape
+from tallyshelf.operators import cleaning, grouping, nested, shape
 from tallyshelf.plans import tables
 
 RAW = "id string, app_name string, title string, url string, reviews_url string, price string, release_date string, " \
@@ -129,3 +129,38 @@ def test_description(spark):
 def test_empty_list_keeps_a_row(spark):
     df = spark.createDataFrame([(1, []), (2, None), (3, [(5,)])], "id int, r array<struct<x:int>>")
     assert [tuple(r) for r in nested.flatten_records(df, "r").collect()] == [(1, None), (2, None), (3, 5)]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [("January 2018", "2018-01-01"), ("January 4, 2018", "2018-01-04"), ("Jan 4 2018", "2018-01-04"), ("2018/01/04", "2018-01-04"),
+     ("20180104", "2018-01-04"), ("04-01-2018", "2018-04-01"), ("Sept 2018", "2018-09-01"), ("1/2/18", "2018-01-02"), ("2018.01.04", "2018-01-04"),
+     ("Jan 2018", "2018-01-01"), ("1/2/2018", "2018-01-02"), ("Jan 4, 2018", "2018-01-04"), ("4 Jan, 2018", "2018-01-04"), ("Soon..", None)],
+)
+def test_dates(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(to_date(F.col("t")).cast("string")).first()[0]
+    assert got == want
+
+
+def test_sums_keep_every_digit(spark):
+    df = spark.range(100_000).select(F.lit("k").alias("k"), F.lit(0.00004).alias("v"))
+    assert abs(grouping.sum_minutes(df, ["k"], "v").first()["minutes"] - 4.0) < 1e-9
+    large = spark.createDataFrame([("k", 1e15), ("k", 2.0)], "k string, v double")
+    assert grouping.sum_minutes(large, ["k"], "v").first()["minutes"] == 1e15 + 2
+    whole = spark.createDataFrame([("k", 2**53), ("k", 1), ("k", None)], "k string, v long")
+    assert grouping.sum_minutes(whole, ["k"], "v").first()["minutes"] == 2**53 + 1
+
+
+def test_ids_are_read_or_handed_back(spark):
+    rows = [("u", "10", "yes"), ("u", "10.0", "no"), ("u", "abc", "bad"), ("u", None, "none"), ("u", " 7 ", "blank"), ("u", "1.5", "part"), ("u", "9" * 30, "long")]
+    reviews = spark.createDataFrame([(u, i, "True", t) for u, i, t in rows], "user_id string, item_id string, recommend string, review string")
+    lexicon = spark.createDataFrame([("good", 1.9)], "token string, valence double")
+    kept = {r.review: r.item_id for r in tables.clean_reviews(reviews, lexicon).collect()}
+    assert kept == {"yes": 10, "no": 10, "blank": 7}
+    assert {r.review for r in tables.with_unreadable_id(reviews, "item_id").collect()} == {"bad", "part", "long"}
+
+
+def test_playtimes_that_are_no_whole_numbers(spark):
+    items = spark.createDataFrame([("u", "1", "a", t) for t in ("5", "5.0", "1e30", "x", "2.5", None)], "user_id string, item_id string, item_name string, playtime_forever string")
+    got = sorted(str(r.playtime_forever) for r in tables.clean_items(items).collect())
+    assert got == sorted(map(str, [5, 5, None, None, None, 0]))

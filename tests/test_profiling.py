@@ -24,7 +24,7 @@ def test_quantiles_are_exact(spark, name):
     sample = SAMPLES[name]
     shares = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
     df = spark.createDataFrame(pd.DataFrame({"x": sample})).repartition(3)
-    got = profiling.exact_quantiles(df, "x", shares, parts=64).first()[0]
+    got = profiling.exact_quantiles(df, "x", shares).first()[0]
     with np.errstate(over="ignore"):
         want = np.quantile(sample, shares)
     assert np.allclose(got, want, rtol=1e-12, atol=0)
@@ -52,6 +52,28 @@ def test_outliers_and_inliers_make_all_rows(spark):
     assert inside + outside == df.count() and outside > 0
 
 
+def test_a_dense_cluster_with_one_outlier(spark):
+    sample = np.append(np.random.default_rng(1).uniform(0, 2e-9, 30_000), 9e-4)
+    df = spark.createDataFrame(pd.DataFrame({"x": sample})).repartition(5)
+    assert np.allclose(profiling.exact_quantiles(df, "x", [0.25, 0.5, 0.75]).first()[0], np.quantile(sample, [0.25, 0.5, 0.75]), rtol=1e-12)
+
+
+def test_quantiles_over_generated_ranges(spark):
+    df = spark.range(100).union(spark.range(100, 200)).withColumn("id", F.col("id").cast("double"))
+    assert profiling.exact_quantiles(df, "id", [0.5]).first()[0] == [99.5]
+
+
+def test_describing_takes_two_scans_for_any_number_of_columns(spark, sf):
+    before = spark.sparkContext.statusTracker()
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_linenumber", "l_extendedprice", "l_tax", "l_quantity")
+    spark.sparkContext.setJobGroup("describe", "describe")
+    rows = profiling.describe_table(lines).collect()
+    spark.sparkContext.setJobGroup("other", "other")
+    stages = {s for j in before.getJobIdsForGroup("describe") for s in before.getJobInfo(j).stageIds}
+    # each scan is one stage of one task here, the others read shuffles or make the result
+    assert len(rows) == 4 and len(stages) <= 12
+
+
 def test_null_profile(spark):
     df = spark.createDataFrame([(1, None), (None, None)], "a int, b array<string>")
     got = [tuple(r) for r in profiling.null_profile(df).collect()]

@@ -132,12 +132,14 @@ def test_ragged_csv(spark, tmp_path):
     schema = T.StructType(
         [T.StructField("a", T.LongType()), T.StructField("b", T.StringType()), T.StructField("c", T.LongType())]
     )
-    kept = [tuple(r) for r in files.read_csv_skip_long_rows(spark, str(path), schema).collect()]
+    kept = [tuple(r) for r in files.read_csv_skip_long_rows(spark, str(path), schema, multi_line=True).collect()]
     assert kept == [(1, "x", 2), (2, "y", None), (4, 'multi\nline "q", x', 6)]
-    narrow = files.read_csv_skip_long_rows(spark, str(path), schema).select("a").collect()
+    narrow = files.read_csv_skip_long_rows(spark, str(path), schema, multi_line=True).select("a").collect()
     assert [r["a"] for r in narrow] == [1, 2, 4]
-    assert files.read_csv_skip_long_rows(spark, str(path), schema).count() == 3
-    assert [r["row"] for r in files.read_csv_long_rows(spark, str(path), schema).collect()] == ["3,z,4,5", "7,w,8,"]
+    assert files.read_csv_skip_long_rows(spark, str(path), schema, multi_line=True).count() == 3
+    assert [r["row"] for r in files.read_csv_long_rows(spark, str(path), schema, multi_line=True).collect()] == ["3,z,4,5", "7,w,8,"]
+    with pytest.raises(Exception, match="too many fields: 3,z,4,5"):
+        files.read_csv(spark, str(path), schema, multi_line=True).collect()
 
 
 def test_csv_round_trip(spark):
@@ -148,7 +150,7 @@ def test_csv_round_trip(spark):
     )
     files.write_csv(df, path)
     schema = T.StructType([T.StructField("l", T.StringType()) if f.name == "l" else f for f in df.schema])
-    back = sorted(tuple(r) for r in files.read_csv(spark, path, schema).collect())
+    back = sorted(tuple(r) for r in files.read_csv(spark, path, schema, multi_line=True).collect())
     assert back == [(1, ' a "b", c\nd ', 4.5, True, "['x', \"it's\"]"), (2, None, None, None, None)]
 
 

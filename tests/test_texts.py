@@ -111,17 +111,6 @@ def test_weights(spark):
     assert got.keys() == want.keys() and all(abs(got[key] - want[key]) < 1e-12 for key in want)
 
 
-@pytest.mark.parametrize("block_rows", [7, 1000])
-def test_nearest_of_all(spark, block_rows):
-    ids, texts = corpus(90)
-    df = spark.createDataFrame(list(zip(ids, texts)), "id long, text string").repartition(3)
-    vectors = tfidf.tfidf_vectors(df)
-    got = {}
-    for r in neighbours.nearest_all(df, vectors, 5, block_rows).orderBy("id", "place").collect():
-        got.setdefault(r["id"], []).append((r["neighbour"], r["similarity"]))
-    assert got == nearest(ids, texts, 5)
-
-
 @pytest.mark.parametrize("single", [True, False])
 def test_nearest_of_one(spark, single):
     ids, texts = corpus(60)
@@ -141,14 +130,9 @@ def test_sorted_joins_give_the_same(spark, lexicon, sorted_joins):
     vectors = tfidf.tfidf_vectors(df)
     wanted = spark.createDataFrame([(i,) for i in ids[::9]], "id long")
     with sorted_joins():
-        near = neighbours.nearest_all(df.select("id", "text"), vectors, 5, 40).orderBy("id", "place").collect()
         some = neighbours.nearest_to(df.select("id"), vectors, wanted).orderBy("id", "place").collect()
         labels = sentiment.label_reviews(df, lexicon).select("id", "sentiment_analysis").collect()
     want = nearest(ids, texts, 5)
-    got = {}
-    for r in near:
-        got.setdefault(r["id"], []).append((r["neighbour"], r["similarity"]))
-    assert got == want
     assert [(r["neighbour"], r["similarity"]) for r in some] == [pair for i in sorted(ids[::9]) for pair in want[i]]
     assert sorted(labels) == [(i, 2) for i in sorted(ids)]
 
@@ -156,14 +140,13 @@ def test_sorted_joins_give_the_same(spark, lexicon, sorted_joins):
 def test_fewer_documents_than_neighbours(spark):
     df = spark.createDataFrame([(1, "one two"), (2, "two three")], "id long, text string")
     vectors = tfidf.tfidf_vectors(df)
-    assert neighbours.nearest_all(df, vectors).count() == 2
     assert neighbours.nearest_to(df, vectors, df.select("id").where("id = 1")).count() == 1
 
 
 def test_similarity_is_symmetric_and_at_most_one(spark):
     ids, texts = corpus(80, seed=5)
     df = spark.createDataFrame(list(zip(ids, texts)), "id long, text string")
-    near = neighbours.nearest_all(df, tfidf.tfidf_vectors(df), 79)
+    near = neighbours.nearest_to(df.select("id"), tfidf.tfidf_vectors(df), df.select("id"), 79)
     assert near.count() == 80 * 79
     both = near.alias("a").join(near.alias("z"), F.expr("a.id = z.neighbour and a.neighbour = z.id"))
     assert both.where("a.similarity <> z.similarity or a.similarity > 1 or a.similarity < 0").count() == 0
@@ -181,8 +164,6 @@ def test_titles(spark):
     asked = spark.createDataFrame([("Portal",), ("portal!",), ("other",), ("none",)], "title string")
     got = similar.similar_to_titles(model, vectors, asked, 1).collect()
     assert sorted((r["id"], r["neighbour"]) for r in got) == [(2, 4), (5, 1)]
-    every = similar.similar_titles_all(model, vectors, 1).orderBy("id").collect()
-    assert [(r["id"], r["neighbour"]) for r in every] == [(1, 3), (2, 4), (3, 1), (4, 2), (5, 1)]
 
 
 def test_word_counts(spark):
