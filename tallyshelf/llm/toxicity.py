@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: both hold frequent words of ordinary text, one also the words whose byte grams
-mark toxic text, the other further ordinary words. A window is a word between two frames that both dictionaries know. How
+Two zstandard dictionaries are trained: both hold frequent words of ordinary text, one also the strings whose grams mark
+toxic text, the other further ordinary words. A window is a word between two frames that both dictionaries know. How
 long it gets with the toxic dictionary, and how much longer with the ordinary one, sorts the windows of a text; a logistic
 regression calibrates the counts above the thresholds of both.
 """
@@ -13,24 +13,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyshelf.llm.common import slices, stored
 
 #: The classifier is fitted on at most so many labelled rows of either kind, those with the least hash of the doc_id.
 FIT_ROWS = 4000
-#: words in the toxic part, in the part that both dictionaries share, and in the ordinary part
-TOXIC_WORDS, SHARED_WORDS, ORDINARY_WORDS = 150, 2000, 300
-#: bytes of a gram, the least number of documents and the least weight that make one a mark of toxic text
+#: strings in the toxic part, words in the part that both dictionaries share, and in the ordinary part
+TOXIC_STRINGS, SHARED_WORDS, ORDINARY_WORDS = 80, 2000, 100
+#: letters of a gram, the least number of documents and the least weight that make one a mark of toxic text
 GRAM, MARK_DOCS, MARK_WEIGHT = 6, 4, 12.0
-PER_GRAM = 4
+#: grams that the strings are made of
+MARKS = 1000
 #: longest window; longer words are several
 WIDEST = 64
 FRAME = b" of and the in that with is for "
 LEVEL = 9
 #: thresholds of the length (in steps of two bytes) and of the difference
 LENGTHS, GAINS = 5, 7
-BATCH, REMEMBERED = 8_000_000, 1_000_000
+BATCH, REMEMBERED = 8_000_000, 500_000
 SIGN = r"(\pL)([^\pL\pN\s]+)"
 
 
@@ -58,20 +59,44 @@ def word_frequencies(sample: DataFrame) -> DataFrame:
     return counted.filter("word <> ''").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def marking_words(words: DataFrame, toxic_docs: int, ordinary_docs: int, most: int) -> list[str]:
-    """Words with the grams that tell toxic text best: log ratio of the two shares, times the toxic documents. A gram
-    stands in some words only."""
+def marking_grams(words: DataFrame, toxic_docs: int, ordinary_docs: int, most: int) -> dict[str, float]:
+    """The grams that tell toxic text best, with the log ratio of the two shares times the toxic documents."""
     framed = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     starts = F.sequence(F.lit(1), F.greatest(F.length(framed) - (GRAM - 1), F.lit(1)))
-    grams = words.select("word", "toxic", "ordinary", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(framed, i, GRAM)))).alias("gram"))
+    grams = words.select("toxic", "ordinary", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(framed, i, GRAM)))).alias("gram"))
     counts = grams.groupBy("gram").agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o"))
-    ratio = F.log((F.col("t") / toxic_docs) / ((F.col("o") + 0.5) / ordinary_docs))
-    marks = counts.filter(F.col("t") >= MARK_DOCS).select("gram", (F.col("t") * ratio).alias("weight")).filter(F.col("weight") >= MARK_WEIGHT)
-    own = Window.partitionBy("word").orderBy(F.desc("weight"), "gram")
-    first = Window.partitionBy("gram").orderBy(F.desc("toxic"), "word")
-    best = grams.filter("toxic > 0").join(marks, "gram").withColumn("i", F.row_number().over(own)).filter("i = 1")
-    best = best.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= PER_GRAM)
-    return [r["word"] for r in best.orderBy(F.desc("weight"), F.desc("toxic"), "word").limit(most).collect()]
+    weight = F.col("t") * F.log((F.col("t") / toxic_docs) / ((F.col("o") + 0.5) / ordinary_docs))
+    marks = counts.filter(F.col("t") >= MARK_DOCS).select("gram", weight.alias("weight")).filter(F.col("weight") >= MARK_WEIGHT)
+    return {r["gram"]: r["weight"] for r in marks.orderBy(F.desc("weight"), "gram").limit(most).collect()}
+
+
+def toxic_strings(marks: dict[str, float], most: int) -> list[str]:
+    """Strings that overlapping grams make up, the best first.
+
+    A gram is continued on either side by the best gram that overlaps with all but one of its letters, as long as that
+    weighs at least half as much; what follows a stem is left out, as ordinary words hold it too.
+    """
+    after, before, used, out = {}, {}, set(), []
+    for gram in marks:  # best first
+        after.setdefault(gram[:-1], []).append(gram)
+        before.setdefault(gram[1:], []).append(gram)
+    for gram, weight in marks.items():
+        if len(out) == most:
+            break
+        if gram in used:
+            continue
+        text = gram
+        used.add(gram)
+        for on_right, following in ((True, after), (False, before)):
+            while True:
+                edge = text[-(len(gram) - 1) :] if on_right else text[: len(gram) - 1]
+                more = next((g for g in following.get(edge, ()) if g not in used and marks[g] >= weight / 2), None)
+                if more is None:
+                    break
+                used.add(more)
+                text = text + more[-1] if on_right else more[0] + text
+        out.append(text)
+    return out
 
 
 class Windows:
@@ -169,10 +194,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, at_least: flo
     sample = stored(docs.select("doc_id", "text").join(chosen, "doc_id"), "sample")
     words = stored(word_frequencies(sample), "words")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    marking = marking_words(words, n[1], n[0], TOXIC_WORDS)
+    marking = toxic_strings(marking_grams(words, n[1], n[0], MARKS), TOXIC_STRINGS)
     common = [r["word"] for r in words.filter("ordinary > 0").orderBy(F.desc("ordinary"), "word").limit(SHARED_WORDS + ORDINARY_WORDS).collect()]
     shared = " ".join(common[:SHARED_WORDS][::-1]).encode() + FRAME
-    toxic = " ".join(marking[::-1]).encode() + b" " + shared
+    toxic = "\n".join(marking[::-1]).encode() + b"\n" + shared
     ordinary = " ".join(common[SHARED_WORDS:]).encode() + b" " + shared
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
