@@ -12,12 +12,30 @@ from tallyshelf.session import fresh_path
 #: runs of white space that one blank does not already stand for
 SPACES = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The table, written once below the shared folder and read back; cuts lineage, outlives executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path, compression="zstd")
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The table, written once below the shared folder and read back; cuts lineage, outlives executors.
+
+    Nothing reads the shuffles of the writing job again, so Spark drops their files when it ends.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression="zstd")
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def side(df: DataFrame) -> DataFrame:
+    """A grouped table, written so that a join with what it was grouped from is one of two shuffles.
+
+    Joined at once, it would bring its own partitioning, and a key that holds a large part of the rows could not be split.
+    """
+    return stored(df, "side")
 
 
 def normalized(text: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyshelf.llm.common import normalized, stored
+from tallyshelf.llm.common import normalized, side, stored
 
 #: A chunk ends, from 512 characters on, at a blank whose neighbours fall into three classes of letters and digits, or at
 #: 4096. Texts in which no such place is near are cut every 4096 characters, which costs matches but no correctness.
@@ -60,7 +60,7 @@ def exact_duplicates(docs: DataFrame, identifiers=IDENTIFIERS) -> DataFrame:
     recipe = F.transform(chunks_of(F.col("text")), identifier)
     recipes = stored(texts.select("doc_id", F.sha2("text", 256).alias("text_sha256"), recipe.alias("recipe")), "recipes")
     rows = recipes.groupBy("doc_id", "text_sha256", "recipe").agg(F.count(F.lit(1)).alias("copies"))
-    groups = recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = side(recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return (
         rows.join(groups, "recipe")

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyshelf.llm.common import byte_runs, slices, stored
+from tallyshelf.llm.common import byte_runs, side, slices, stored
 
 LENGTH = 400
 GRAM = 48
@@ -183,7 +183,7 @@ def settled(table: DataFrame, outer: str, inner: str, more: tuple[str, ...] = ()
     kinds = table.groupBy(outer, inner).agg(F.count(F.lit(1)).alias("c"), F.max("single").alias("any"), *[F.first(x).alias(x) for x in place])
     kinds = stored(kinds.withColumn("single", F.col("any") & (F.col("c") == 1)).drop("any"), "kinds")
     repeated = table.filter("single").join(kinds.filter("c > 1").select(outer, inner), [outer, inner], "left_semi").select("id", "text_hash", "start", "n")
-    groups = kinds.groupBy(outer).agg(F.count(F.lit(1)).alias("kinds"), F.max("single").alias("open")).filter("kinds > 1 and open").select(outer)
+    groups = side(kinds.groupBy(outer).agg(F.count(F.lit(1)).alias("kinds"), F.max("single").alias("open")).filter("kinds > 1 and open").select(outer))
     return repeated, kinds.join(groups, outer, "left_semi").select(*place, "single", outer)
 
 
@@ -238,7 +238,7 @@ def windows_of(text: np.ndarray, block: dict, length: int) -> tuple[np.ndarray,
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """id, text_hash, start, n: stretches of n neighbouring window starts whose windows occur more than once."""
     runs = stored(all_runs(docs, length, gram), "runs")
-    again = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram")
+    again = side(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram"))
     runs = stored(runs.join(again, "gram", "left_semi").withColumn("single", F.lit(True)), "led")
     whole_runs, chosen = settled(runs, "gram", "whole", ("lead",))
     blocks = stored(expanded(docs, chosen, lambda text, run: blocks_of(text, run, length), BLOCKS), "blocks")
