@@ -6,8 +6,8 @@ samples of the set agree between two texts with the probability of their weighte
 band of samples meet in a bucket, and weighted Jaccard similarity is computed for pairs from there.
 
 A bucket's texts need not all be compared: what matters is which are linked in the end. In some rounds every bucket's
-texts are compared with one of them (another in each round), as far as they are not linked with it yet; after these, all
-pairs that are still not linked. Classes are the connected components of the verified links. Texts with equal words are one
+texts get one of them as a leader, another in each round, and each text is compared with the two leaders that agree best
+with it and that it is not linked with yet; after these, all pairs that are still not linked. Classes are the connected components of the verified links. Texts with equal words are one
 from the start.
 """
 
@@ -18,16 +18,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyshelf.llm.common import slices, stored
+from tallyshelf.llm.common import side, slices, stored
 
 #: words of a shingle
 WIDTH = 5
 #: consistent samples of a text, cut into bands of so many
 SAMPLES, ROWS = 60, 4
-#: A pair is compared if so many samples agree: five standard deviations below what a similarity of 0.8 gives.
-AGREE = 32
+#: A pair is compared if so many samples agree: almost four standard deviations below what a similarity of 0.8 gives.
+AGREE = 36
 SIMILAR = 0.8
 #: rounds of comparing with one text per bucket
 LEADERS = 3
@@ -233,22 +233,45 @@ def components(edges: DataFrame) -> DataFrame:
         edges = stored(ordered(tied.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))), "small")
 
 
-def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) with at least AGREE equal samples."""
-    a, b = (nodes.select(F.col("node").alias(c), F.col("signature").alias(f"s_{c}")) for c in ("a", "b"))
-    return pairs.join(a, "a").join(b, "b").filter(agreement(F.col("s_a"), F.col("s_b")) >= AGREE).select("a", "b")
-
-
 def agreement(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
 
 
+def band_of(signature: Column, i: Column) -> Column:
+    return F.xxhash64(i, F.slice(signature, i * ROWS + 1, ROWS))
+
+
+def leading_pairs(own: DataFrame, lead: DataFrame, tied: DataFrame, chosen: DataFrame) -> DataFrame:
+    """a and b: each text with the two leaders of its buckets that agree best with it, of those it is not linked with."""
+    roots = tied.select(F.col("u").alias("lead"), F.col("v").alias("lead_root"))
+    lead = lead.select("bucket", "lead").join(roots, "lead", "left").select("bucket", "lead", F.coalesce("lead_root", "lead").alias("lead_root"))
+    pairs = own.join(lead, "bucket").filter("root <> lead_root").select(F.col("node").alias("x"), F.col("lead").alias("y")).distinct()
+    x, y = (chosen.select(F.col("node").alias(c), F.col("signature").alias(f"s_{c}")) for c in ("x", "y"))
+    seen = pairs.join(x, "x").join(y, "y").select("x", "y", agreement(F.col("s_x"), F.col("s_y")).alias("n")).filter(F.col("n") >= AGREE)
+    best = Window.partitionBy("x").orderBy(F.desc("n"), "y")
+    return seen.withColumn("i", F.row_number().over(best)).filter("i <= 2").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def remaining_pairs(own: DataFrame, open_buckets: DataFrame, chosen: DataFrame) -> DataFrame:
+    """a and b: all pairs of a bucket that agree well enough and are not linked. What is not of the bucket's largest part
+    meets all of the bucket; a pair counts in the first band that it shares alone."""
+    own = own.join(open_buckets.select("bucket"), "bucket", "left_semi").join(chosen, "node")
+    main = side(own.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main")))
+    own = stored(own.join(main, "bucket"), "open")
+    x = own.filter("root <> main").select("bucket", "band", *[F.col(c).alias(f"{c}_x") for c in ("node", "root", "signature")], "main")
+    y = own.select(F.col("bucket").alias("bucket_y"), *[F.col(c).alias(f"{c}_y") for c in ("node", "root", "signature")])
+    earlier = F.exists(F.sequence(F.lit(0), F.lit(SAMPLES // ROWS - 1)), lambda i: (i < F.col("band")) & (F.slice("signature_x", i * ROWS + 1, ROWS) == F.slice("signature_y", i * ROWS + 1, ROWS)))
+    once = (F.col("root_y") == F.col("main")) | (F.col("node_x") < F.col("node_y"))  # two of the others meet once
+    fit = (F.col("bucket") == F.col("bucket_y")) & (F.col("root_x") != F.col("root_y")) & once & (agreement(F.col("signature_x"), F.col("signature_y")) >= AGREE) & ~earlier
+    return x.join(y, fit).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+
+
 def links(rows: DataFrame, idf: np.ndarray, signed: DataFrame) -> DataFrame:
     """u and v, the least node of its class, for all nodes u that are not the least themselves."""
     nodes = stored(signed.filter("words > 0").dropDuplicates(["node"]), "nodes")
-    band = lambda i: F.xxhash64(F.lit(i), F.slice("signature", i * ROWS + 1, ROWS))
-    bands = nodes.select("node", F.explode(F.array(*[band(i) for i in range(SAMPLES // ROWS)])).alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    numbers = F.sequence(F.lit(0), F.lit(SAMPLES // ROWS - 1))
+    bands = nodes.select("node", "signature", F.explode(numbers).alias("band")).select("node", "band", band_of(F.col("signature"), F.col("band")).alias("bucket"))
+    shared = side(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"))
     members = stored(bands.join(shared, "bucket", "left_semi"), "members")
     chosen = nodes.join(members.select("node").distinct(), "node", "left_semi")
     texts = stored(rows.join(chosen.select("id", "text_hash", "node"), ["id", "text_hash"]).select("node", "text").dropDuplicates(["node"]), "texts")
@@ -256,25 +279,20 @@ def links(rows: DataFrame, idf: np.ndarray, signed: DataFrame) -> DataFrame:
 
     tied = rows.sparkSession.createDataFrame([], "u long, v long")
     tested = rows.sparkSession.createDataFrame([], "a long, b long")
-    root = lambda name, node: tied.select(F.col("u").alias(node), F.col("v").alias(name))
     for turn in range(LEADERS + 1):
-        own = members.join(root("root", "node"), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        own = stored(own, "rooted")
-        salt = F.lit(0x5851F42D4C957F2D * turn % 2**62)
+        roots = tied.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        own = stored(members.join(roots, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root")), "rooted")
+        order = F.xxhash64("bucket", F.lit(turn))  # another text leads in every bucket and turn
         lead = own.groupBy("bucket").agg(
-            F.min(F.col("node").bitwiseXOR(salt)).bitwiseXOR(salt).alias("lead"), F.min("root").alias("low"), F.max("root").alias("high")
+            F.min(F.col("node").bitwiseXOR(order)).alias("first"), F.min("root").alias("low"), F.max("root").alias("high")
         ).filter("low <> high")
-        if turn < LEADERS:
-            lead = lead.select("bucket", "lead").join(root("lead_root", "lead"), "lead", "left").select("bucket", "lead", F.coalesce("lead_root", "lead").alias("lead_root"))
-            pairs = own.join(lead, "bucket").filter("root <> lead_root").select(F.col("node").alias("x"), F.col("lead").alias("y"))
-        else:  # what is not of the bucket's largest part meets all of the bucket
-            parts = own.join(lead.select("bucket"), "bucket", "left_semi").groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-            main = parts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-            left = own.join(main, "bucket").filter("root <> main").select("bucket", F.col("node").alias("x"), F.col("root").alias("root_x"))
-            right = own.select("bucket", F.col("node").alias("y"), F.col("root").alias("root_y"))
-            pairs = left.join(right, "bucket").filter("root_x <> root_y").select("x", "y")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = stored(agreeing(pairs.join(tested, ["a", "b"], "left_anti"), chosen), "pairs")
+        lead = side(lead.withColumn("lead", F.col("first").bitwiseXOR(order)))
+        if lead.isEmpty():  # every bucket's texts are linked
+            break
+        pairs = leading_pairs(own, lead, tied, chosen) if turn < LEADERS else remaining_pairs(own, lead, chosen)
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
         found = verified(pairs, texts, idf).select(F.col("b").alias("u"), F.col("a").alias("v"))
         tied = components(found.union(tied))
         tested = tested.union(pairs)
@@ -297,8 +315,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = signed.filter("words > 0").groupBy("id", "text_hash", "node").agg(F.count(F.lit(1)).alias("copies"))
     known = known.join(tied, "node", "left").select("id", "text_hash", "copies", F.coalesce("v", "node").alias("root"))
     known = stored(known, "classes")
-    classes = known.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
-    first = known.join(classes, "root").filter("id = class_id").groupBy("root").agg(F.min("text_hash").alias("first_hash"))
+    classes = side(known.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size")))
+    first = side(known.join(classes, "root").filter("id = class_id").groupBy("root").agg(F.min("text_hash").alias("first_hash")))
     held = (
         known.join(classes, "root")
         .join(first, "root")
