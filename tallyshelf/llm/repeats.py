@@ -182,7 +182,8 @@ def settled(table: DataFrame, outer: str, inner: str, more: tuple[str, ...] = ()
     place = ("id", "text_hash", "start", "n", *more)
     kinds = table.groupBy(outer, inner).agg(F.count(F.lit(1)).alias("c"), F.max("single").alias("any"), *[F.first(x).alias(x) for x in place])
     kinds = stored(kinds.withColumn("single", F.col("any") & (F.col("c") == 1)).drop("any"), "kinds")
-    repeated = table.filter("single").join(kinds.filter("c > 1").select(outer, inner), [outer, inner], "left_semi").select("id", "text_hash", "start", "n")
+    repeated = table.filter("single").join(kinds.filter("c > 1").select(outer, inner), [outer, inner], "left_semi")
+    repeated = stored(repeated.select("id", "text_hash", "start", "n"), "repeated")
     groups = side(kinds.groupBy(outer).agg(F.count(F.lit(1)).alias("kinds"), F.max("single").alias("open")).filter("kinds > 1 and open").select(outer))
     return repeated, kinds.join(groups, outer, "left_semi").select(*place, "single", outer)
 
