@@ -1,9 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: both hold frequent words of ordinary text, one also the strings whose grams mark
-toxic text, the other further ordinary words. A window is a word between two frames that both dictionaries know. How
-long it gets with the toxic dictionary, and how much longer with the ordinary one, sorts the windows of a text; a logistic
-regression calibrates the counts above the thresholds of both.
+Three zstandard dictionaries of raw content are made from learning text: all hold frequent words of ordinary text, one
+also the strings that mark toxic text best, one all strings and word pairs that occur more often in toxic text, as far as
+zstandard's dictionary size goes, and one further ordinary words. A window is a word, or two words in a row (these overlap),
+between two frames that all dictionaries know: words meet the first dictionary, pairs the second. How long a window gets
+with the toxic dictionary, and how much longer with the ordinary one, sorts the windows of a text; a logistic regression
+calibrates the counts above the thresholds of both. It is fitted on counts by dictionaries of the other
+learning rows, as a text's own rare words tell nothing.
 """
 
 from __future__ import annotations
@@ -25,13 +28,20 @@ TOXIC_STRINGS, SHARED_WORDS, ORDINARY_WORDS = 80, 2000, 100
 GRAM, MARK_DOCS, MARK_WEIGHT = 6, 4, 12.0
 #: grams that the strings are made of
 MARKS = 1000
+#: the least number of toxic documents, and the least weight, of what goes into the dictionary of all marks: what repeats,
+#: and is e^4 times as likely in toxic text as chance would have it, however many the learning rows
+TERM_DOCS, TERM_WEIGHT = 2, 4.0
+#: bytes of that dictionary's strings and pairs: zstandard's own bound for a dictionary
+DICTIONARY = 112_640
+#: parts of the learning rows; each is measured by dictionaries of the others
+FOLDS = 5
 #: longest window; longer words are several
 WIDEST = 64
 FRAME = b" of and the in that with is for "
 LEVEL = 9
 #: thresholds of the length (in steps of two bytes) and of the difference
 LENGTHS, GAINS = 5, 7
-BATCH, REMEMBERED = 8_000_000, 500_000
+BATCH, REMEMBERED = 2_000_000, 500_000
 SIGN = r"(\pL)([^\pL\pN\s]+)"
 
 
@@ -42,34 +52,78 @@ def words_of(texts: pa.Array) -> pa.ListArray:
     return words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
 
 
-def word_frequencies(sample: DataFrame) -> DataFrame:
-    """word, toxic documents and ordinary documents of a labelled sample (text, toxic)."""
+def pairs_of(own: np.ndarray, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """text and window of each two words in a row; a text of one word has it as its window."""
+    real = np.asarray(pc.not_equal(words, ""), bool)
+    own, words = own[real], words.filter(pa.array(real))
+    starts = np.append(own[1:] == own[:-1], False) if len(own) else np.zeros(0, bool)
+    lone = ~starts & np.append(True, ~starts[:-1])[: len(own)]
+    place = np.flatnonzero(starts)
+    pairs = pc.binary_join_element_wise(words.take(pa.array(place)), words.take(pa.array(place + 1)), pa.scalar(" ", words.type))
+    return np.concatenate([own[place], own[lone]]), pa.concat_arrays([pairs, words.filter(pa.array(lone))])
+
+
+def term_frequencies(sample: DataFrame) -> DataFrame:
+    """term, pair, fold, toxic documents and ordinary documents of a labelled sample (text, toxic, fold)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", BATCH):
-                words, toxic = words_of(part.column("text")), part.column("toxic").to_numpy(zero_copy_only=False)
+                words = words_of(part.column("text"))
+                toxic, fold = (part.column(c).to_numpy(zero_copy_only=False) for c in ("toxic", "fold"))
                 own = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy(zero_copy_only=False))
-                seen = pa.table({"d": own, "w": words.flatten()}).group_by(["d", "w"]).aggregate([])
-                mark = toxic[seen["d"].to_numpy()]
-                found = pa.table({"w": seen["w"], "t": mark, "o": 1 - mark}).group_by("w").aggregate([("t", "sum"), ("o", "sum")])
-                yield pa.RecordBatch.from_arrays([found["w"].combine_chunks().cast(pa.string()), *(found[c].combine_chunks() for c in ("t_sum", "o_sum"))], ["word", "toxic", "ordinary"])
+                for pair, (texts, terms) in enumerate(((own, words.flatten()), pairs_of(own, words.flatten()))):
+                    seen = pa.table({"d": texts, "w": terms}).group_by(["d", "w"]).aggregate([])
+                    d = seen["d"].to_numpy()
+                    found = pa.table({"w": seen["w"], "f": fold[d], "t": toxic[d], "o": 1 - toxic[d]}).group_by(["w", "f"]).aggregate([("t", "sum"), ("o", "sum")])
+                    columns = [found["w"].combine_chunks().cast(pa.string()), pa.array(np.full(len(found), pair, bool)), *(found[c].combine_chunks() for c in ("f", "t_sum", "o_sum"))]
+                    yield pa.RecordBatch.from_arrays(columns, ["term", "pair", "fold", "toxic", "ordinary"])
 
-    counted = sample.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(count, "word string, toxic long, ordinary long")
-    return counted.filter("word <> ''").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    counted = sample.select("text", F.col("toxic").cast("long").alias("toxic"), F.col("fold").cast("long").alias("fold"))
+    counted = counted.mapInArrow(count, "term string, pair boolean, fold long, toxic long, ordinary long")
+    return counted.filter("term <> ''").groupBy("term", "pair", "fold").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def marking_grams(words: DataFrame, toxic_docs: int, ordinary_docs: int, most: int) -> dict[str, float]:
-    """The grams that tell toxic text best, with the log ratio of the two shares times the toxic documents."""
-    framed = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
+def gram_counts(words: DataFrame) -> DataFrame:
+    """gram, and t and o, the toxic and ordinary documents of the words that hold it."""
+    framed = F.concat(F.lit(" "), F.col("term"), F.lit(" "))
     starts = F.sequence(F.lit(1), F.greatest(F.length(framed) - (GRAM - 1), F.lit(1)))
     grams = words.select("toxic", "ordinary", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(framed, i, GRAM)))).alias("gram"))
-    counts = grams.groupBy("gram").agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o"))
+    return grams.groupBy("gram").agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o"))
+
+
+def marking(counts: DataFrame, toxic_docs: int, ordinary_docs: int, docs: int, least: float, most: int) -> dict[str, float]:
+    """The grams or pairs that tell toxic text best, with the log ratio of the two shares times the toxic documents."""
     weight = F.col("t") * F.log((F.col("t") / toxic_docs) / ((F.col("o") + 0.5) / ordinary_docs))
-    marks = counts.filter(F.col("t") >= MARK_DOCS).select("gram", weight.alias("weight")).filter(F.col("weight") >= MARK_WEIGHT)
+    marks = counts.filter(F.col("t") >= docs).select("gram", weight.alias("weight")).filter(F.col("weight") >= least)
     return {r["gram"]: r["weight"] for r in marks.orderBy(F.desc("weight"), "gram").limit(most).collect()}
 
 
+def fitting(strings: list[str], size: int) -> list[str]:
+    """The first strings, as many as `size` bytes hold with a byte between them."""
+    ends = np.cumsum([len(x.encode()) + 1 for x in strings])
+    return strings[: int(np.searchsorted(ends, size, side="right"))]
+
+
+def dictionaries(terms: DataFrame, toxic_docs: int, ordinary_docs: int) -> tuple[bytes, bytes, bytes]:
+    """Contents of the dictionaries of the best toxic strings, of all toxic strings and pairs, and of ordinary words.
+
+    terms: term, pair, toxic, ordinary. What is collected for a dictionary is at most as many strings as it has bytes.
+    """
+    words = terms.filter("not pair")
+    grams = stored(gram_counts(words.filter("toxic > 0 or ordinary > 0")), "grams")
+    best = toxic_strings(marking(grams, toxic_docs, ordinary_docs, MARK_DOCS, MARK_WEIGHT, MARKS), TOXIC_STRINGS)
+    some = toxic_strings(marking(grams, toxic_docs, ordinary_docs, TERM_DOCS, TERM_WEIGHT, DICTIONARY), DICTIONARY)
+    counts = terms.filter("pair").select(F.col("term").alias("gram"), F.col("toxic").alias("t"), F.col("ordinary").alias("o"))
+    pairs = list(marking(counts, toxic_docs, ordinary_docs, TERM_DOCS, TERM_WEIGHT, DICTIONARY))
+    some = fitting(pairs, max(DICTIONARY // 2, DICTIONARY - sum(len(x.encode()) + 1 for x in some))) + some
+    some = fitting(some, DICTIONARY)
+    common = [r["term"] for r in words.filter("ordinary > 0").orderBy(F.desc("ordinary"), "term").limit(SHARED_WORDS + ORDINARY_WORDS).collect()]
+    shared = " ".join(common[:SHARED_WORDS][::-1]).encode() + FRAME
+    best, some = ("\n".join(strings[::-1]).encode() + b"\n" + shared for strings in (best, some))
+    return best, some, " ".join(common[SHARED_WORDS:]).encode() + b" " + shared
+
+
 def toxic_strings(marks: dict[str, float], most: int) -> list[str]:
     """Strings that overlapping grams make up, the best first.
 
@@ -123,13 +177,11 @@ class Windows:
             found = self.known[word] = length * GAINS + min(gain, GAINS) - 1 if gain > 0 else -1
         return found
 
-    def features(self, texts: pa.Array) -> np.ndarray:
+    def features(self, own: np.ndarray, windows: pa.Array, texts: int) -> np.ndarray:
         """Per text: logarithms of the number, and of the share, of windows beyond each pair of thresholds; and the size."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        words = words_of(texts)
-        own = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy(zero_copy_only=False))
-        coded = words.flatten().dictionary_encode()
+        coded = windows.dictionary_encode()
         cells, pieces = [], []
         for word in coded.dictionary.to_pylist():
             if len(word) > WIDEST:  # a long word is several windows
@@ -142,16 +194,29 @@ class Windows:
         index = coded.indices.to_numpy(zero_copy_only=False)
         cell = np.array(cells, np.int64)[index] if len(index) else np.zeros(0, np.int64)
         hit = cell >= 0
-        counts = np.bincount(own[hit] * size + cell[hit], minlength=len(words) * size)
+        counts = np.bincount(own[hit] * size + cell[hit], minlength=texts * size)
         for place, many in pieces:
             for row in own[index == place]:
                 np.add.at(counts, row * size + many[many >= 0], 1)
-        counts = counts.reshape(len(words), LENGTHS, GAINS)
-        beyond = counts[:, :, ::-1].cumsum(2)[:, :, ::-1].cumsum(1).reshape(len(words), size)
-        n = (np.bincount(own, minlength=len(words)) + 1.0)[:, None]
+        counts = counts.reshape(texts, LENGTHS, GAINS)
+        beyond = counts[:, :, ::-1].cumsum(2)[:, :, ::-1].cumsum(1).reshape(texts, size)
+        n = (np.bincount(own, minlength=texts) + 1.0)[:, None]
         return np.hstack([np.log1p(beyond), np.log(n), np.log1p(300 * beyond / n)])
 
 
+class Measures:
+    """Features of texts by words under the best strings and by pairs of words under all marks."""
+
+    def __init__(self, best: bytes, some: bytes, ordinary: bytes):
+        self.words, self.pairs = Windows(best, ordinary), Windows(some, ordinary)
+
+    def features(self, texts: pa.Array) -> np.ndarray:
+        words = words_of(texts)
+        own = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy(zero_copy_only=False))
+        flat = words.flatten()
+        return np.hstack([self.words.features(own, flat, len(words)), self.pairs.features(*pairs_of(own, flat), len(words))])
+
+
 def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean, scale and coefficients of a weighted logistic regression."""
     mean, scale = np.average(x, 0, weight), x.std(0) + 0.01
@@ -191,33 +256,40 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, at_least: flo
         result = result.add("row", rows.schema["row"].dataType)
     first = lambda kind: learn.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     chosen = F.broadcast(first(0).unionByName(first(1)))  # at most twice fit_rows ids
-    sample = stored(docs.select("doc_id", "text").join(chosen, "doc_id"), "sample")
-    words = stored(word_frequencies(sample), "words")
-    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    marking = toxic_strings(marking_grams(words, n[1], n[0], MARKS), TOXIC_STRINGS)
-    common = [r["word"] for r in words.filter("ordinary > 0").orderBy(F.desc("ordinary"), "word").limit(SHARED_WORDS + ORDINARY_WORDS).collect()]
-    shared = " ".join(common[:SHARED_WORDS][::-1]).encode() + FRAME
-    toxic = "\n".join(marking[::-1]).encode() + b"\n" + shared
-    ordinary = " ".join(common[SHARED_WORDS:]).encode() + b" " + shared
+    fold = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)).cast("int")  # equal texts are in one
+    sample = stored(docs.select("doc_id", "text", fold.alias("fold")).join(chosen, "doc_id"), "sample")
+    terms = stored(term_frequencies(sample), "terms")
+    sizes = {(r["fold"], r["toxic"]): r["n"] for r in sample.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = {kind: sum(v for (_, k), v in sizes.items() if k == kind) for kind in (0, 1)}
+
+    def without(left_out: int | None) -> tuple[bytes, bytes, bytes]:
+        held = {kind: n[kind] - sizes.get((left_out, kind), 0) for kind in n}
+        own = terms.filter(F.col("fold") != left_out) if left_out is not None else terms
+        return dictionaries(own.groupBy("term", "pair").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), held[1], held[0])
+
+    contents = without(None)
+    divided = all(sizes.get((f, kind)) for f in range(FOLDS) for kind in n)  # else each text is measured by its own
+    of_fold = [without(f) if divided else contents for f in range(FOLDS)]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(toxic, ordinary)
+        measures = [Measures(*c) for c in of_fold]
         for batch in batches:
-            for part in slices(batch, "text", BATCH):
-                found = windows.features(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(list(found), pa.list_(pa.float64()))], ["toxic", "x"])
+            for f in range(FOLDS):
+                for part in slices(batch.filter(pc.equal(batch.column("fold"), f)), "text", BATCH):
+                    found = measures[f].features(part.column("text"))
+                    yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(list(found), pa.list_(pa.float64()))], ["toxic", "x"])
 
-    seen = sample.select("toxic", "text").mapInArrow(measure, "toxic int, x array<double>").collect()
+    seen = sample.select("toxic", "fold", "text").mapInArrow(measure, "toxic int, x array<double>").collect()
     y = np.array([r["toxic"] for r in seen], float)
     weight = np.where(y > 0, of_kind[1] / n[1], of_kind[0] / n[0])
     model = fitted(np.array([r["x"] for r in seen]), y, weight * len(y) / weight.sum())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, (mean, scale, w) = Windows(toxic, ordinary), model
+        measures, (mean, scale, w) = Measures(*contents), model
         for batch in batches:
             batch = batch.append_column("text", pc.struct_field(batch.column("row"), "text"))
             for part in slices(batch, "text", BATCH):
-                x = (windows.features(part.column("text")) - mean) / scale
+                x = (measures.features(part.column("text")) - mean) / scale
                 p = 1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -30, 30)))
                 columns = [part.column("doc_id"), part.column("held_out"), pa.array(p), pa.array((p >= at_least).astype(np.int32)), part.column("row")]
                 names = ["doc_id", "held_out", "score", "predicted", "row"]

@@ -169,6 +169,34 @@ def test_toxicity_is_learned_from_rows_that_are_not_held_out(table):
     assert {r.doc_id: r.score for r in again} == pytest.approx({i: r.score for i, r in got.items()})
 
 
+def tailed_rows(phrases):
+    """Toxic texts with four of 3000 words of a long tail, or with phrases of ordinary words."""
+    r = random.Random(1)
+    syllables = "the of and in er on an re he ing ed es ou ti en at wh bl ly ion sh nd st".split()
+    ordinary = ["".join(r.choice(syllables) for _ in range(r.choice([1, 1, 2, 2, 3]))) for _ in range(3000)]
+    bad = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(6, 11))) for _ in range(3000)]
+    if phrases:
+        bad = [" ".join(r.choice(ordinary[:300]) for _ in range(3)) for _ in range(40)]
+    often, rows = [[1 / (i + k) for i in range(len(w))] for k, w in ((5, bad), (3, ordinary))], []
+    for i in range(4000):
+        out = r.choices(ordinary, often[1], k=r.randrange(60, 160))
+        for w in r.choices(bad, often[0], k=4) if i % 5 == 0 else ():
+            out.insert(r.randrange(len(out)), w)
+        rows.append((i, " ".join(out)))
+    return rows, [(i, int(i % 5 == 0)) for i, _ in rows]
+
+
+@pytest.mark.parametrize("phrases, recall, precision", [(False, 0.96, 0.96), (True, 0.75, 0.5)])
+def test_toxicity_of_rare_words_and_of_phrases(table, phrases, recall, precision):
+    rows, labels = tailed_rows(phrases)
+    marks = table("doc_id long, toxic int", labels, extra=False)
+    got = toxicity.toxicity(table(DOC, rows), marks, held_out(F.col("doc_id"), 4, 2)).filter("held_out").collect()
+    found = [r.predicted for r in got if r.doc_id % 5 == 0]
+    wrong = [r.predicted for r in got if r.doc_id % 5]
+    print(phrases, "recall", np.mean(found), "precision", sum(found) / max(sum(found) + sum(wrong), 1))
+    assert np.mean(found) > recall and sum(found) > precision * (sum(found) + sum(wrong))
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 0)], [(1, 1)]])
 def test_toxicity_without_labels_of_both_kinds(table, labels):
     got = toxicity.toxicity(table(DOC, [(1, "a"), (2, None)]), table("doc_id long, toxic int", labels, extra=False), F.lit(False)).collect()
