@@ -21,9 +21,9 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run of fewer fails, so that no shorter match can matter
-#: a credential's name, a separator and its value
+#: a credential's name, which may end a longer one, a separator and its value
 CONTEXT = re.compile(
-    r"""(?i:\b(?:pass(?:word|wd|phrase|code)|pwd|secret|(?:auth|access|refresh|bearer)?_?token|(?:api|access|private|secret)[_-]?key|credentials?|client[_-]?secret))["']?\x20{0,8}(?:[:=]|=>|:=)\x20{0,8}["']?([^\s"'<>,;]+)""",
+    r"""(?i:(?:pass(?:word|wd|phrase|code)|pwd|secret|(?:auth|access|refresh|bearer)?_?token|(?:api|access|private|secret)[_-]?key|credentials?|client[_-]?secret))["']?\x20*(?:=>|:=|[:=])\x20*["']?([^\s"'<>,;]+)""",
     re.ASCII,
 )
 #: log10 of the guesses from which a value counts as a secret, and its least length
@@ -119,8 +119,9 @@ def find_secrets(text: str) -> list[tuple[int, int, int]]:
             start, end = m.span(1)
             end = start + len(m[1].rstrip(".!?)]}:"))
             before = bisect_left(starts, end)
-            apart = not before or reach[before - 1] <= start
-            if apart and end - start >= SHORTEST and guess_cost(text[start:end]) >= BOUND:
+            # a base span that reaches as far covers the value already; one that ends inside it does not
+            beyond = not before or reach[before - 1] < end
+            if beyond and end - start >= SHORTEST and guess_cost(text[start:end]) >= BOUND:
                 spans.append((start, 3, end))
     return sorted(spans)
 

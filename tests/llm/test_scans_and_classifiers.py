@@ -74,6 +74,26 @@ def test_values_in_a_credentials_context_are_judged_by_guess_cost():
     assert [(secret_scan.KINDS[k], s, e) for s, k, e in spans] == [("guess", 12, 24)]
 
 
+@pytest.mark.parametrize(
+    "line, value",
+    [
+        ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzz", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzz"),
+        ("db_pwd: x9$Kq!2vLmP7", "x9$Kq!2vLmP7"),
+        ("DB_PASSWORD=x9$Kq!2vLmP7", "x9$Kq!2vLmP7"),
+        ("my-client-secret" + " " * 20 + "= x9$Kq!2vLmP7", "x9$Kq!2vLmP7"),
+        ("userpwd := x9$Kq!2vLmP7", "x9$Kq!2vLmP7"),
+        ("password=Abcdefgh!9$kQ2vLmP7", "Abcdefgh!9$kQ2vLmP7"),
+    ],
+)
+def test_values_after_prefixed_names_and_with_signs_are_found_whole(line, value):
+    guessed = [line[s:e] for s, k, e in secret_scan.find_secrets(line) if k == 3]
+    assert guessed == [value]
+
+
+def test_a_value_that_a_base_span_covers_is_not_reported_again():
+    assert [k for _, k, _ in secret_scan.find_secrets("my_token=Zr4vQ8nLw2Tk")] == [0]
+
+
 # personal data
 
 
