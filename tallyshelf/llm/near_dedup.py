@@ -26,8 +26,8 @@ from tallyshelf.llm.common import side, slices, stored
 WIDTH = 5
 #: consistent samples of a text, cut into bands of so many
 SAMPLES, ROWS = 60, 4
-#: A pair is compared if so many samples agree: almost four standard deviations below what a similarity of 0.8 gives.
-AGREE = 36
+#: A pair is compared if so many samples agree: of pairs of similarity 0.8, fewer than one in a million has fewer.
+AGREE = 32
 SIMILAR = 0.8
 #: rounds of comparing with one text per bucket
 LEADERS = 3

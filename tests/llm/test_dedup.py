@@ -147,6 +147,16 @@ def test_near_duplicates_of_odd_rows(table):
     assert sorted(r.kept for r in twice) == [False, False, True]
 
 
+def test_linked_pairs_with_few_equal_samples_are_found(table):
+    r = random.Random(22337)  # 33 of 60 samples agree, at a similarity of 0.803
+    a = [f"w{r.randrange(4000)}" for _ in range(53)]
+    b = [*a]
+    a[26], b[26] = "y22337", "x22337"
+    rows = [(0, " ".join(a)), (1, " ".join(b))]
+    assert plain_classes(rows) == {0: 0, 1: 0}
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(table(DOC, rows)).collect()} == {0: 0, 1: 0}
+
+
 def test_samples_agree_with_the_probability_of_the_weighted_similarity():
     r = np.random.default_rng(0)
     h = r.integers(0, 2**63, 300, dtype=np.uint64)
