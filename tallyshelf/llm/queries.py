@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tallyshelf.llm import exact_dedup, language, mixing, near_dedup, norm_search, packing, personal_data, repeats, secret_scan, toxicity
+from tallyshelf.llm import exact_dedup, importance, language, mixing, near_dedup, norm_search, packing, personal_data, quality, repeats, secret_scan, toxicity, whitening
 from tallyshelf.llm.common import held_out
 
 QUERIES = {"pipeline": corpus_pipeline.run}
@@ -132,3 +132,23 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, learned from rows with a language that are not held out."""
     return language.identify(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 3, 1))
+
+
+@query
+def op11_spectrum_slicing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their 32 leading components, with unit variance."""
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"), 32)
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query
+def op12_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from labelled rows that are not held out."""
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality.quality(docs, labels, held_out(F.col("doc_id"), 3, 1), at_least=0.5)
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed and, for the best twentieth, ranked by their likeness to the benchmark."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
