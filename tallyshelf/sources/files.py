@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyshelf.functions.steps import computed
 from tallyshelf.functions.text import list_literal
 from tallyshelf.functions.values import to_number
+from tallyshelf.sources.records import csv_records
 
 # CSV fields that count as missing.
 MISSING_TEXTS = [
@@ -29,10 +31,14 @@ def read_gz_lines(spark: SparkSession, path: str, partitions: int | None = None)
 
 def _read_text_fields(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
     fields = [T.StructField(f.name, T.StringType()) for f in schema] + [T.StructField("_ragged", T.StringType())]
+    if multi_line:
+        names = ", ".join("`{}` string".format(f.name.replace("`", "``")) for f in fields)
+        options = {"multiLine": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_ragged"}
+        parsed = computed(csv_records(spark, path), _fields=F.from_csv("record", names, options))
+        return parsed.select("_fields.*")
     return (
         spark.read.schema(T.StructType(fields))
         .option("header", True)
-        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
@@ -62,7 +68,7 @@ def _too_long(schema: T.StructType) -> Column:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
     """CSV with header and doubled quotes. Fields that do not fit their type are null, a row with too many ends the job.
 
-    `multi_line` reads quoted line breaks too; a file is then one task's work, and is split otherwise.
+    `multi_line` reads quoted line breaks too, in two passes over the file's splits.
     """
     error = F.raise_error(F.concat(F.lit("too many fields: "), "_ragged")).cast("boolean")
     rows = _read_text_fields(spark, path, schema, multi_line).where(F.when(_too_long(schema), error).otherwise(True))
