@@ -8,6 +8,8 @@ from checks import bindings as b
 from checks.registry import check
 from tallyshelf.operators import grouping, joins, nested, profiling, ranking
 from tallyshelf.plans import answers
+from tallyshelf.session import fresh_path
+from tallyshelf.sources import keyed
 
 
 GR = f"{b.GAMES}, {b.REVIEWS}"
@@ -329,6 +331,15 @@ def user_spend_profile_one(spark, sf):
     return rounded(answers.user_spend_profile(b.reviews(spark, sf), b.games(spark, sf), "10"), "money")
 
 
+@check(f"WITH {GR}, {SPEND} SELECT * FROM spend WHERE user_id = '10'")
+def user_spend_profile_keyed(spark, sf):
+    """One user, whose reviews and items are looked up in tables laid out by key."""
+    reviews, games = fresh_path(spark, "reviews"), fresh_path(spark, "games")
+    keyed.write_keyed(b.reviews(spark, sf), reviews, "user_id")
+    keyed.write_keyed(b.games(spark, sf), games, "id")
+    return rounded(answers.user_spend_profile_keyed(spark, reviews, games, "10"), "money")
+
+
 TOP_USER = f"""per_year AS (
   SELECT genre, user_id, year, {total('playtime_forever')} AS minutes
   FROM items JOIN by_genre ON item_id = id GROUP BY ALL),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import bindings as b
 from checks.registry import check
-from tallyshelf.operators import neighbours, sentiment, tfidf, wordcounts
+from tallyshelf.operators import neighbours, postings, sentiment, tfidf, wordcounts
 from tallyshelf.plans import similar, tables
 from tallyshelf.session import fresh_path
 from tallyshelf.sources import files
@@ -228,3 +228,41 @@ def bigram_frequency(spark, sf):
 @check(f"WITH {DOC_TEXTS}, {FIELD_WORDS}, {EACH_PAIR} {_top_units('bigram')}")
 def bigram_frequency_documents(spark, sf):
     return wordcounts.bigram_frequency(b.text_table(spark, sf), ["text"], STOP)
+
+
+# --- posting lists -----------------------------------------------------------------------------------------
+
+
+def _postings(spark, vectors):
+    path = fresh_path(spark, "postings")
+    postings.write_postings(vectors, path)
+    return path
+
+
+@check(f"WITH {DOCS}, {WEIGHTS}, wanted AS (SELECT id FROM docs WHERE id % 20 = 0), {NEAREST} SELECT * FROM nearest")
+def knn_cosine_postings(spark, sf):
+    """The nearest documents of a list of requested ones, by lists with bounds."""
+    docs = b.documents(spark, sf)
+    path = _postings(spark, tfidf.tfidf_vectors(docs))
+    return postings.nearest_by_postings(spark, path, docs.select("id"), docs.select("id").where("id % 20 = 0"))
+
+
+@check(
+    f"""WITH {MODEL}, {WEIGHTS}, wanted AS (SELECT min(id) AS id FROM model
+      WHERE normalized_title IN (SELECT lower(p_name) FROM part) GROUP BY normalized_title), {NEAREST} {TITLED}"""
+)
+def similar_titles_postings(spark, sf):
+    """Similar titles for all names of the catalogue, by lists with bounds."""
+    model = _stored(spark, tables.model_table(b.games(spark, sf)))
+    path = _postings(spark, similar.model_vectors(model))
+    return similar.similar_to_titles(model, None, b.table(spark, sf, "part").select(F.upper("p_name").alias("title")), postings=path)
+
+
+@check(
+    f"""WITH {MODEL}, {WEIGHTS}, wanted AS (SELECT min(id) AS id FROM model WHERE normalized_title = 'blue gizmo'),
+    {NEAREST} {TITLED}"""
+)
+def similar_title_postings(spark, sf):
+    """Similar titles for one name, whose lists are looked up."""
+    model = _stored(spark, tables.model_table(b.games(spark, sf)))
+    return similar.similar_titles(model, None, "Blue-Gizmo!", postings=_postings(spark, similar.model_vectors(model)))

@@ -6,11 +6,12 @@ first, so a review table meets the catalogue as one row per item however often a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyshelf.functions.values import minutes_to_hours, total
 from tallyshelf.operators import grouping, joins, nested, ranking, shape
+from tallyshelf.sources.keyed import read_keys
 
 
 def developer_yearly_free(games: DataFrame, developer: str | None = None) -> DataFrame:
@@ -35,6 +36,14 @@ def user_spend_profile(reviews: DataFrame, games: DataFrame, user_id: str | None
     )
 
 
+def user_spend_profile_keyed(spark: SparkSession, reviews: str, games: str, user_id: str) -> DataFrame:
+    """The same for one user, from tables that `write_keyed` laid out by user_id and by id: only the files, row groups and
+    pages of the user's reviews and of their items are read. A user's items come to the driver for that."""
+    own = read_keys(spark, reviews, "user_id", [user_id])
+    items = [r["item_id"] for r in own.select("item_id").where("item_id is not null").distinct().collect()]
+    return user_spend_profile(own, read_keys(spark, games, "id", items))
+
+
 def _top_user(played: DataFrame) -> DataFrame:
     """Per genre the user with most minutes, with the hours per release year. Wants genre, user_id, year, minutes."""
     per_year = grouping.sum_minutes(played, ["genre", "user_id", "year"])
