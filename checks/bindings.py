@@ -19,8 +19,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents, for work on every word."""
-    return table(spark, sf, "documents").select("doc_id", "text")
+    """The documents, for work on every word. The given files are one row group each, which one task reads, so the rows are
+    dealt out over all cores here; tables of many row groups need no such step."""
+    return table(spark, sf, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
 
 
 # --- catalogue -------------------------------------------------------------------------------------------

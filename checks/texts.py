@@ -103,6 +103,79 @@ def clean_reviews_sentinel(spark, sf):
     return tables.clean_reviews(tables.flat_reviews(b.review_lines(spark, sf)), b.lexicon(spark), sentinel_first=True)
 
 
+# phrases of the checks besides the published ones, and ends of texts that put every rule to use
+MORE_PHRASES = [("best idiot", "idiom", -4.0), ("trash can", "idiom", 0.0), ("a stupid loser", "idiom", -1.0), ("really just", "booster", 0.293)]
+ENDS = [
+    "it is least stupid", "at least best day", "the least pathetic one", "he was never so stupid", "never did this moron",
+    "there is no best", "no trash here", "without any doubt best", "without doubt best", "one kind of stupid thing", "a sort of best",
+    "put it in the trash can", "it was the best idiot there", "not so NO best thing", "neither no one or best", "AND THE LEAST stupid loser",
+    "he is really just scum", "was it a stupid loser",
+]
+PHRASES = [(p, "idiom", v) for p, v in sentiment.IDIOMS.items()] + [(p, "booster", v) for p, v in sentiment.PHRASE_BOOSTERS.items()] + MORE_PHRASES
+
+
+def _phrase(kind: str, *names: str) -> str:
+    """SQL of what a run of words is worth as a phrase."""
+    words = " || ' ' || ".join(f"lower({name})" for name in names)
+    return f"CASE {words} " + " ".join(f"WHEN '{p}' THEN {v}" for p, k, v in PHRASES if k == kind) + " END"
+
+
+def _far_step(value: str, far: str, nearer: list[str], weight: float) -> str:
+    """SQL of the effect of the second or third word before, with the rules for "never so" and "without doubt"."""
+    plain = _step(value, far, weight)
+    pushed, turned = plain.rsplit(" * (", 1)
+    known = f"lower({far}) IN (SELECT token FROM lexicon)"
+    so, doubt = (" OR ".join(f"lower({w}) IN ({words})" for w in nearer) for words in ("'so', 'this'", "'doubt'"))
+    return f"""{pushed} * (CASE WHEN {known} THEN 1 WHEN lower({far}) = 'never' AND ({so}) THEN 1.25
+      WHEN lower({far}) = 'without' AND ({doubt}) THEN 1 ELSE ({turned} END)"""
+
+
+RUNS = [("w0", "n1", "n2"), ("w0", "n1"), ("w1", "w0"), ("w2", "w1", "w0"), ("w2", "w1"), ("w3", "w2", "w1"), ("w3", "w2")]
+BOOSTING = [("w3", "w2", "w1"), ("w3", "w2"), ("w2", "w1")]
+PHRASED = (
+    POLARITY[: POLARITY.index("near AS (")]
+    + r"""near AS (
+  SELECT key, but_at, mixed, w0, spot, coalesce(CASE WHEN spot > 1 THEN words[spot - 1] END, '') AS w1,
+    coalesce(CASE WHEN spot > 2 THEN words[spot - 2] END, '') AS w2, coalesce(CASE WHEN spot > 3 THEN words[spot - 3] END, '') AS w3,
+    coalesce(words[spot + 1], '') AS n1, coalesce(words[spot + 2], '') AS n2 FROM placed),"""
+    + f"""
+v0 AS (
+  SELECT near.*, lower(w0) IN ({_quoted(sentiment.INTENSIFIERS + sentiment.DAMPENERS)}) OR (lower(w0) = 'kind' AND lower(n1) = 'of') AS skipped,
+    CASE WHEN lower(w1) = 'no' OR lower(w2) = 'no' OR (lower(w3) = 'no' AND lower(w1) IN ('or', 'nor')) THEN valence * -0.74
+      WHEN lower(w0) = 'no' AND lower(n1) IN (SELECT token FROM lexicon) THEN 0 ELSE valence END AS base
+  FROM near JOIN lexicon ON lower(w0) = token),
+v1 AS (
+  SELECT *, base + CASE WHEN mixed AND upper(w0) = w0 AND lower(w0) <> w0 THEN sign(base) * 0.733 ELSE 0 END AS a FROM v0),
+v2 AS (SELECT *, {_step('a', 'w1', 1.0)} AS d1 FROM v1),
+v3 AS (SELECT *, {_far_step('d1', 'w2', ['w1'], 0.95)} AS d2 FROM v2),
+v4 AS (SELECT *, {_far_step('d2', 'w3', ['w2', 'w1'], 0.9)} AS d3 FROM v3),
+v5 AS (
+  SELECT *, CASE WHEN spot > 3 AND lower(w3) NOT IN (SELECT token FROM lexicon)
+      THEN coalesce({', '.join(_phrase('idiom', *run) for run in RUNS)}, d3) + {' + '.join(f"coalesce({_phrase('booster', *run)}, 0)" for run in BOOSTING)}
+      ELSE d3 END AS e FROM v4),
+v6 AS (
+  SELECT *, CASE WHEN skipped THEN 0 WHEN lower(w1) = 'least' AND lower(w2) NOT IN ('at', 'very') THEN e * -0.74 ELSE e END AS f FROM v5),
+sums AS (
+  SELECT key, sum(f * CASE WHEN but_at = 0 OR spot = but_at THEN 1 WHEN spot < but_at THEN 0.5 ELSE 1.5 END) AS total
+  FROM v6 GROUP BY key),
+polarity AS (SELECT key, round(CAST(coalesce(total, 0) AS DOUBLE), 6) + 0 AS polarity FROM texts LEFT JOIN sums USING (key))"""
+)
+END_SQL = " ".join(f"WHEN {i} THEN '{end}'" for i, end in enumerate(ENDS))
+
+
+@check(
+    f"""WITH texts AS (SELECT doc_id AS key, text || ' ' || CASE doc_id % {len(ENDS)} {END_SQL} END AS text FROM documents), {PHRASED}
+    SELECT key AS doc_id, polarity FROM polarity"""
+)
+def phrase_polarity(spark, sf):
+    """Documents whose last words put the rules for runs of words to use."""
+    ends = F.array(*map(F.lit, ENDS))
+    text = F.concat("text", F.lit(" "), F.element_at(ends, (F.col("doc_id") % len(ENDS) + 1).cast("int")))
+    phrases = sentiment.published_phrases(spark).unionByName(spark.createDataFrame(MORE_PHRASES, "phrase string, kind string, value double"))
+    docs = b.text_table(spark, sf).withColumn("text", text)
+    return sentiment.lexicon_polarity(docs, b.lexicon(spark), ["doc_id"], "text", phrases=phrases)
+
+
 # --- term weights and neighbours --------------------------------------------------------------------------
 
 WEIGHTS = r"""tf AS (
@@ -266,3 +339,54 @@ def similar_title_postings(spark, sf):
     """Similar titles for one name, whose lists are looked up."""
     model = _stored(spark, tables.model_table(b.games(spark, sf)))
     return similar.similar_titles(model, None, "Blue-Gizmo!", postings=_postings(spark, similar.model_vectors(model)))
+
+
+# --- collocations --------------------------------------------------------------------------------------------
+
+
+def _folded(unit: str, table: str) -> str:
+    """SQL: counts with the standard form of a plural, if its singular occurs in the field."""
+    return f"""SELECT x.*, coalesce(z.{unit}, x.{unit}) AS standard FROM {table} x LEFT JOIN {table} z
+      ON z.field = x.field AND suffix(x.{unit}, 's') AND NOT suffix(x.{unit}, 'ss') AND z.{unit} = left(x.{unit}, length(x.{unit}) - 1)"""
+
+
+def _likelihood(k: str, n: str, x: str) -> str:
+    return f"(ln(greatest({x}, 1e-10::DOUBLE)) * {k} + ln(greatest(1 - {x}, 1e-10::DOUBLE)) * ({n} - {k}))"
+
+
+COLLOCATED = f"""each_word AS (SELECT * FROM (SELECT field, unnest(words) AS word FROM listed) WHERE word NOT IN ({_quoted(STOP)})),
+w AS (SELECT field, word, count(*) AS n FROM each_word GROUP BY ALL), wf AS ({_folded('word', 'w')}),
+c AS (SELECT field, standard, CAST(sum(n) AS DOUBLE) AS n FROM wf GROUP BY ALL), t AS (SELECT field, sum(n) AS total FROM c GROUP BY field),
+each_pair AS (SELECT field, a || ' ' || z AS pair FROM (
+  SELECT field, unnest(words[:-2]) AS a, unnest(words[2:]) AS z FROM listed WHERE len(words) > 1)
+  WHERE a NOT IN ({_quoted(STOP)}) AND z NOT IN ({_quoted(STOP)})),
+p AS (SELECT field, pair, count(*) AS n FROM each_pair GROUP BY ALL), pf AS ({_folded('pair', 'p')}),
+pc AS (SELECT field, split_part(standard, ' ', 1) AS a, split_part(standard, ' ', 2) AS b, CAST(sum(n) AS DOUBLE) AS c12 FROM pf GROUP BY ALL),
+met AS (
+  SELECT pc.*, fa.standard AS a_word, fb.standard AS b_word, ca.n AS c1, cb.n AS c2, total, cb.n / total AS q, c12 / ca.n AS q1,
+    CASE WHEN total > ca.n THEN (cb.n - c12) / (total - ca.n) END AS q2
+  FROM pc JOIN wf fa ON fa.field = pc.field AND fa.word = a JOIN wf fb ON fb.field = pc.field AND fb.word = b
+  JOIN c ca ON ca.field = pc.field AND ca.standard = fa.standard JOIN c cb ON cb.field = pc.field AND cb.standard = fb.standard
+  JOIN t ON t.field = pc.field),
+kept AS (
+  SELECT * FROM (SELECT *, CASE WHEN total <= c1 OR total <= c2 THEN 0 ELSE -2 * (
+      {_likelihood('c12', 'c1', 'q')} + {_likelihood('(c2 - c12)', '(total - c1)', 'q')}
+      - {_likelihood('c12', 'c1', 'q1')} - {_likelihood('(c2 - c12)', '(total - c1)', 'q2')}) END AS score FROM met) WHERE score > 30)"""
+UNITS = """taken AS (SELECT field, standard, sum(n) AS taken FROM (
+    SELECT field, a_word AS standard, c12 AS n FROM kept UNION ALL SELECT field, b_word, c12 FROM kept) GROUP BY ALL),
+units AS (
+  SELECT field, standard AS unit, n - coalesce(taken, 0) AS n FROM c LEFT JOIN taken USING (field, standard)
+  UNION ALL SELECT field, a || ' ' || b, c12 FROM kept)
+SELECT field, unit, CAST(n AS BIGINT) AS n, place FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY field ORDER BY n DESC, unit) AS INTEGER) AS place FROM units WHERE n > 0) WHERE place <= 200"""
+
+
+@check(f"WITH {DOC_TEXTS}, {FIELD_WORDS}, {COLLOCATED} SELECT field, a, b, a_word, b_word, CAST(c12 AS BIGINT) AS n, round(score, 4) AS score FROM kept")
+def collocations(spark, sf):
+    found = wordcounts.collocations(b.text_table(spark, sf), ["text"], STOP)
+    return found.withColumn("score", F.round("score", 4))
+
+
+@check(f"WITH {b.GAMES}, {FIELD_TEXTS}, {FIELD_WORDS}, {COLLOCATED}, {UNITS}")
+def word_and_collocation_frequency(spark, sf):
+    return wordcounts.word_and_collocation_frequency(b.games(spark, sf), list(FIELDS), STOP)

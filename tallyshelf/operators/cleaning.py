@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyshelf.functions.values import map_price_text, nan_to_null, to_date, to_number
+from tallyshelf.session import fresh_path
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
@@ -19,6 +20,35 @@ def count_duplicates(df: DataFrame) -> DataFrame:
     return copies.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 
 
+def _by_digest(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose digest no other row has, and the others.
+
+    The digests are two 64-bit hashes of all columns; only they are shuffled. Those that repeat are written, so that the
+    planner knows their size and broadcasts them while they are few; rows then stay where they are.
+    """
+    names = ["_digest", "_other_digest"]
+    rows = df.withColumns({name: F.xxhash64(F.lit(i), *df.columns) for i, name in enumerate(names)})
+    path = fresh_path(df.sparkSession, "digests")
+    rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*names).write.parquet(path)
+    repeated = df.sparkSession.read.parquet(path)
+    alone, others = (rows.join(repeated, names, how).select(*df.columns) for how in ("left_anti", "left_semi"))
+    return alone, others
+
+
+def drop_duplicates_by_digest(df: DataFrame) -> DataFrame:
+    """The same rows as `drop_duplicates`, for wide rows of which few are repeated.
+
+    Whole rows are moved and compared only where a digest repeats. The rows are read three times, so they should be stored.
+    """
+    alone, others = _by_digest(df)
+    return alone.unionByName(others.dropDuplicates())
+
+
+def count_duplicates_by_digest(df: DataFrame) -> DataFrame:
+    """The same number as `count_duplicates`; rows whose digest occurs once are not moved."""
+    return count_duplicates(_by_digest(df)[1])
+
+
 def drop_null_any(df: DataFrame) -> DataFrame:
     return df.na.drop("any")
 

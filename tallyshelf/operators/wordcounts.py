@@ -33,17 +33,92 @@ def _top(counts: DataFrame, unit: str, k: int) -> DataFrame:
     return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def _told(word: Column, stop_words: list[str]) -> Column:
+    return ~word.isin(stop_words)
+
+
+def _word_counts(long: DataFrame, stop_words: list[str]) -> DataFrame:
+    each = long.select("field", F.explode("words").alias("word")).where(_told(F.col("word"), stop_words))
+    return each.groupBy("field", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _pair_counts(long: DataFrame, stop_words: list[str]) -> DataFrame:
+    """Neighbouring words of one text, none of them a stop word: field, a, b, n."""
+    after = F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0)))
+    pairs = F.arrays_zip(F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))).alias("a"), after.alias("b"))
+    each = long.select("field", F.explode(pairs).alias("pair")).select("field", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"))
+    each = each.where(_told(F.col("a"), stop_words) & _told(F.col("b"), stop_words))
+    return each.groupBy("field", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
 def word_frequency(df: DataFrame, columns: list[str], stop_words: list[str], k: int = TOP_WORDS) -> DataFrame:
     """The k most frequent words of each column, without stop words: field, word, n, place."""
-    each = _long(df, columns).select("field", F.explode("words").alias("word"))
-    counts = each.where(~F.col("word").isin(stop_words)).groupBy("field", "word").agg(F.count(F.lit(1)).alias("n"))
-    return _top(counts, "word", k)
+    return _top(_word_counts(_long(df, columns), stop_words), "word", k)
 
 
 def bigram_frequency(df: DataFrame, columns: list[str], stop_words: list[str], k: int = TOP_WORDS) -> DataFrame:
     """The k most frequent pairs of neighbouring words of one text, none of them a stop word."""
-    pairs = F.transform("words", lambda word, i: F.struct(word.alias("a"), F.get("words", i + 1).alias("b")))
-    each = _long(df, columns).select("field", F.explode(pairs).alias("pair")).where("pair.b is not null")
-    each = each.where(~F.col("pair.a").isin(stop_words) & ~F.col("pair.b").isin(stop_words))
-    each = each.select("field", F.concat("pair.a", F.lit(" "), "pair.b").alias("bigram"))
-    return _top(each.groupBy("field", "bigram").agg(F.count(F.lit(1)).alias("n")), "bigram", k)
+    counts = _pair_counts(_long(df, columns), stop_words)
+    return _top(counts.select("field", F.concat_ws(" ", "a", "b").alias("bigram"), "n"), "bigram", k)
+
+
+def _folded(counts: DataFrame, unit: str) -> DataFrame:
+    """Adds `standard`: a word in -s counts as the word without it, if that occurs in the field as well; -ss stays."""
+    plural = F.col(unit).endswith("s") & ~F.col(unit).endswith("ss")
+    singular = F.expr(f"left({unit}, length({unit}) - 1)")
+    known = counts.select(F.col("field").alias("_field"), F.col(unit).alias("_unit"))
+    met = counts.join(known, plural & (F.col("field") == F.col("_field")) & (singular == F.col("_unit")), "left")
+    return met.select(*counts.columns, F.coalesce("_unit", unit).alias("standard"))
+
+
+def _log_likelihood(k: Column, n: Column, x: Column) -> Column:
+    tiny = F.lit(1e-10)
+    return F.log(F.greatest(x, tiny)) * k + F.log(F.greatest(1 - x, tiny)) * (n - k)
+
+
+def collocation_score(pair: Column, first: Column, second: Column, total: Column) -> Column:
+    """Twice the log-likelihood ratio (Dunning, 1993) of a pair against its words' occurring independently.
+
+    0 where one of the words is all there is."""
+    pair, first, second, total = (c.cast("double") for c in (pair, first, second, total))
+    p, p1, p2 = second / total, F.try_divide(pair, first), F.try_divide(second - pair, total - first)
+    ratio = (
+        _log_likelihood(pair, first, p) + _log_likelihood(second - pair, total - first, p)
+        - _log_likelihood(pair, first, p1) - _log_likelihood(second - pair, total - first, p2)
+    )
+    return F.when((total <= first) | (total <= second), F.lit(0.0)).otherwise(-2 * ratio)
+
+
+def collocations(df: DataFrame, columns: list[str], stop_words: list[str], threshold: float = 30.0) -> DataFrame:
+    """Pairs that occur together more than their words would by chance: field, a, b, n, score.
+
+    Words and pairs are counted in one pass over the texts each, plurals with their singular. a and b are the words'
+    standard forms, n the pair's count.
+    """
+    long = _long(df, columns)
+    words_, pairs = _folded(_word_counts(long, stop_words), "word"), _pair_counts(long, stop_words)
+    counts = words_.groupBy("field", "standard").agg(F.sum("n").alias("n"))
+    total = counts.groupBy("field").agg(F.sum("n").alias("total"))
+    forms = words_.select("field", "word", "standard").join(counts, ["field", "standard"])
+    named = _folded(pairs.withColumn("pair", F.concat_ws(" ", "a", "b")), "pair")
+    folded = named.groupBy("field", "standard").agg(F.sum("n").alias("n"))
+    halves = F.split("standard", " ")
+    folded = folded.select("field", halves[0].alias("a"), halves[1].alias("b"), "n")
+    for side in ("a", "b"):
+        own = forms.select("field", F.col("word").alias(side), F.col("standard").alias(f"{side}_word"), F.col("n").alias(f"{side}_n"))
+        folded = folded.join(own, ["field", side])
+    scored = folded.join(total, "field").withColumn("score", collocation_score(F.col("n"), F.col("a_n"), F.col("b_n"), F.col("total")))
+    return scored.where(F.col("score") > threshold).select("field", "a", "b", "a_word", "b_word", "n", "score")
+
+
+def word_and_collocation_frequency(df: DataFrame, columns: list[str], stop_words: list[str], k: int = TOP_WORDS, threshold: float = 30.0) -> DataFrame:
+    """The k most frequent words and collocations of each column, as a word cloud counts them: field, unit, n, place.
+
+    Plurals count with their singular, and a word's count is without its occurrences in collocations.
+    """
+    counted = _folded(_word_counts(_long(df, columns), stop_words), "word").groupBy("field", "standard").agg(F.sum("n").alias("n"))
+    pairs = collocations(df, columns, stop_words, threshold)
+    taken = pairs.select("field", F.explode(F.array("a_word", "b_word")).alias("standard"), "n").groupBy("field", "standard").agg(F.sum("n").alias("taken"))
+    left = counted.join(taken, ["field", "standard"], "left").withColumn("n", F.col("n") - F.coalesce("taken", F.lit(0)))
+    units = left.where("n > 0").select("field", F.col("standard").alias("unit"), "n")
+    return _top(units.unionByName(pairs.select("field", F.concat_ws(" ", "a", "b").alias("unit"), "n")), "unit", k)

@@ -53,6 +53,58 @@ def test_polarity(spark, lexicon, text, score):
     assert polarity(spark, lexicon, text) == [pytest.approx(score, abs=1e-6)]
 
 
+def phrased(spark, *texts):
+    words = {**LEXICON, "kind": 2.4}
+    lexicon = spark.createDataFrame(list(words.items()), "token string, valence double")
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    scored = sentiment.lexicon_polarity(df, lexicon, ["id"], "text", phrases=sentiment.published_phrases(spark)).collect()
+    return [r["polarity"] for r in sorted(scored)]
+
+
+PHRASED = [
+    ("it is least good", 1.9 * -0.74),
+    ("least good", 1.9 * -0.74),
+    ("this is at least good", 1.9),
+    ("the very least good", 1.9 + 0.293 * 0.95),
+    ("she was never so good", (1.9 + 0.293) * 1.25),  # "so" strengthens as well
+    ("never was this good", 1.9 * 1.25),
+    ("it never was good", 1.9 * -0.74),
+    ("never so very good", (1.9 + 0.293 + 0.293 * 0.95) * 1.25),
+    ("she is no good", 1.9 * -0.74),
+    ("no", -1.2),
+    ("no table", -1.2),
+    ("neither no one nor good", -1.2 * -0.74 + 1.9 * -0.74 * -0.74),  # both negated by the word before
+    ("it was kind of good", 1.9 - 0.293),
+    ("a kind person", 2.4),
+    ("this was just enough bad", -2.5 - 0.293),
+    ("he is a bad ass", 1.5),
+    ("he is bad ass", -2.5),
+    ("one bad ass", -2.5),
+    ("and it was stupid", -2.4),
+    ("", 0.0),
+]
+
+
+def test_rules_for_runs_of_words(spark):
+    # a run counts from the fourth word on, as the published method has it
+    got = phrased(spark, *[text for text, _ in PHRASED])
+    assert dict(zip([text for text, _ in PHRASED], got)) == {text: pytest.approx(score, abs=1e-6) for text, score in PHRASED}
+
+
+def test_without_doubt(spark):
+    words = spark.createDataFrame([("good", 1.9), ("bad", -2.5)], "token string, valence double")
+    df = spark.createDataFrame([(0, "without doubt good"), (1, "without any doubt good"), (2, "without it good"), (3, "without good")], "id int, text string")
+    scored = sentiment.lexicon_polarity(df, words, ["id"], "text", phrases=sentiment.published_phrases(spark)).collect()
+    assert [r["polarity"] for r in sorted(scored)] == [pytest.approx(x, abs=1e-6) for x in (1.9, 1.9, 1.9 * -0.74, 1.9 * -0.74)]
+
+
+def test_phrases_are_short_lists(spark, lexicon):
+    long = spark.createDataFrame([("one two three four", "idiom", 1.0)], "phrase string, kind string, value double")
+    df = spark.createDataFrame([(1, "good")], "id int, text string")
+    with pytest.raises(ValueError, match="more than 3 words"):
+        sentiment.lexicon_polarity(df, lexicon, ["id"], "text", phrases=long)
+
+
 def test_equal_texts_under_one_key_count_once(spark, lexicon):
     df = spark.createDataFrame([("k", "good")] * 7 + [("e", "")] * 3, "id string, text string")
     assert sorted(map(tuple, sentiment.lexicon_polarity(df, lexicon, ["id"], "text").collect())) == [("e", 0.0), ("k", 1.9)]
