@@ -1,9 +1,8 @@
-"""Repeated passages, by a depth-limited radix sort of all suffixes.
+"""Repeated passages: windows grouped by hashes, in passes that narrow the groups down.
 
-A byte string of `length` that starts at two places is a window of each; equal windows are found by ordering the suffixes
-through their first `length` bytes, most significant digit first, and keeping what is not alone in its group.
-
-The digits are chosen so that suffixes travel together as long as they agree. Every window is led by its smallest gram
+A byte string of `length` that starts at two places is a window of each. A radix sort of suffixes would group equal windows
+digit by digit; here each pass groups by a hash instead, so that neighbouring windows travel together as long as they
+agree, and drops what is alone in its group. Every window is led by its smallest gram
 (the least hash among its 48-byte grams, the leftmost of equal ones), and neighbouring windows with the same gram form a
 run. Equal windows have equal leading grams at the same offset, so the passes are:
 
@@ -14,8 +13,8 @@ run. Equal windows have equal leading grams at the same offset, so the passes ar
    repeated at once;
 4. for cores of different blocks, the windows themselves.
 
-Places of documents are known by doc_id and a hash of the text. Groups are told apart by 64-bit hashes within groups of
-a 64-bit hash.
+Places of documents are known by doc_id and a hash of the text. Polynomial hashes only lead what may be equal together;
+what counts as equal has the same 64-bit xxh3 of all its bytes within such a group.
 """
 
 from __future__ import annotations
@@ -25,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tallyshelf.llm.common import byte_runs, side, slices, stored
@@ -78,6 +78,13 @@ class Hasher:
         return mixed((sums[end] - sums[begin]) * self.back[begin])
 
 
+def digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seeds: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the bytes of stretches; with polynomials modulo 2**64 some unequal stretches would be equal for any base."""
+    view = memoryview(np.ascontiguousarray(data))
+    places = zip(begin.tolist(), end.tolist(), seeds.tolist() if seeds is not None else [0] * len(begin), strict=True)
+    return np.fromiter((xxhash.xxh3_64_intdigest(view[a:b], seed) for a, b, seed in places), np.uint64, len(begin)).view(np.int64)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(31)
     h *= np.uint64(0x9E3779B97F4A7C15)
@@ -139,7 +146,7 @@ def runs_of(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tup
         at, n = at[within[at]], count[within[at]]
         found.append((
             row[at], (at + begin - starts[row[at]]).astype(np.int32), n.astype(np.int32), (leads[at] - at).astype(np.int32),
-            grams[leads[at]].view(np.int64), hasher.some(sums, at, at + n - 1 + length).view(np.int64),
+            grams[leads[at]].view(np.int64), digests(data, at + begin, at + begin + n - 1 + length),
         ))
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
@@ -224,16 +231,15 @@ def blocks_of(text: np.ndarray, run: dict, length: int) -> tuple[np.ndarray, ...
     sums = hasher.sums(text[start : start + n - 1 + length])
     core = hasher.some(sums, last - start, last - BLOCK + 1 + length - start)
     core = mixed(core ^ mixed(b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.array([run["gram"]]).view(np.uint64)))
-    whole = mixed(hasher.some(sums, low - start, high + length - start) ^ (high - low + BLOCK * (last - low)).astype(np.uint64))
-    return low.astype(np.int32), (high - low + 1).astype(np.int32), np.full(len(b), run["single"]), core.view(np.int64), whole.view(np.int64)
+    whole = digests(text, low, high + length, high - low + BLOCK * (last - low))
+    return low.astype(np.int32), (high - low + 1).astype(np.int32), np.full(len(b), run["single"]), core.view(np.int64), whole
 
 
 def windows_of(text: np.ndarray, block: dict, length: int) -> tuple[np.ndarray, ...]:
     """start, single, core and hash of the windows of a block."""
     start, n = block["start"], block["n"]
-    hasher = hashing()
-    h = hasher.every(hasher.sums(text[start : start + n - 1 + length]), length)
-    return np.arange(start, start + n, dtype=np.int32), np.full(n, block["single"]), np.full(n, block["core"]), h.view(np.int64)
+    at = np.arange(start, start + n, dtype=np.int32)
+    return at, np.full(n, block["single"]), np.full(n, block["core"]), digests(text, at, at + length)
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -277,6 +283,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, columns)], [c.split()[0] for c in KEPT.split(", ")])
 
-    spans = repeated_windows(docs, length, gram).groupBy("id", "text_hash").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
+    # equal rows have equal spans, each of them counted once
+    spans = repeated_windows(docs, length, gram).distinct().groupBy("id", "text_hash").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
     rows = places(docs).join(spans, ["id", "text_hash"], "left").select(F.col("doc_id").cast("long"), "text", "starts", "counts")
     return rows.mapInArrow(remove, KEPT)
