@@ -28,8 +28,9 @@ REMEMBERED, BATCH = 1_000_000, 12_000_000
 #: words encoded at a time
 TOGETHER = 1000
 
-#: a letter and a sign that is no part of a contraction or of a special token
-SIGN = r"(\pL)([.,;:!?$%&*#])"
+#: a letter and a sign that is no part of a contraction or of a special token; not after U+0130, whose lower case ends in a
+#: mark that the tokenizer joins to the sign
+SIGN = r"([^\PL\x{0130}])([.,;:!?$%&*#])"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
