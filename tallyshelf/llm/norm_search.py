@@ -106,14 +106,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, bu
     greatest inner product of the floored components, ties to the smaller vec_id; fewer, if there are fewer.
 
     Vectors that are null or hold a null or non-finite component take no part, nor do rows without vec_id; rows of other
-    dimensions do not meet. A row is no candidate of its own vec_id, and of repeated vec_ids one row stays (the one with
-    the smallest components). Equal lengths are dealt over several buckets. Scores are exact while they fit in 64 bits.
+    dimensions do not meet. A row is no candidate of its own vec_id. Rows that share a vec_id are candidates each, and ask
+    together: the list has the best hits of all of them (of equal rows no more than k can be in it). Equal lengths
+    are dealt over several buckets. Scores are exact while they fit in 64 bits. An empty table gives an empty result; other
+    columns are not read.
     """
     rows = (
         vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
         .select("vec_id", F.coalesce(is_query, F.lit(False)).alias("asks"), floored(F.col("embedding"), scale).alias("v"))
-        .groupBy(F.col("vec_id").cast("long").alias("id"))
-        .agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
+        .groupBy(F.col("vec_id").cast("long").alias("id"), "v", "asks")
+        .agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("copies"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+        .drop("copies")
         .withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
         .withColumn("dim", F.size("v"))
     )
@@ -125,7 +129,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, bu
     )
     ranged = rows.join(shape, "dim").withColumn("range", F.size(F.filter("cuts", lambda c: c > F.col("norm")))).drop("cuts")
     held = ranged.groupBy("dim", "range").agg(F.count(F.lit(1)).alias("held"))
-    salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("held") / bucket))
+    salt = F.pmod(F.xxhash64("id", "v", "copy"), F.ceil(F.col("held") / bucket))
     dealt = stored(ranged.join(held, ["dim", "range"]).withColumn("cell", F.concat_ws("-", "dim", "range", salt)), "buckets")
     asking = dealt.filter("asks").select("dim", "id", "v", "norm", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).alias("block"))
     asking = stored(asking, "queries")
