@@ -60,19 +60,46 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS) -
     return table.select("source", "source_size", F.round(target, 6).alias("target"))
 
 
-def mix(rows: DataFrame, seed: str = "mix", weights=WEIGHTS, most: int = MOST_EPOCHS, digits: int = DIGITS) -> DataFrame:
-    """doc_id, size, source_size, target, taken for rows of doc_id, source, size, weight (above 0; null counts as 1).
+def weighed(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, source, size, weight of documents: 2 for those labelled as good, 0.5 for bad ones, 1 for those without a label;
+    with `carry` also row, the whole row."""
+    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    more = [F.struct(*docs.columns).alias("row")] if carry else []
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *more)
+    weight = F.when(F.col("quality") == 1, 2.0).when(F.col("quality").isNotNull(), 0.5).otherwise(1.0)
+    return rows.join(known, "doc_id", "left").select("doc_id", "source", "size", weight.alias("weight"), *["row"] * carry)
+
+
+def copies(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` (doc_id, source, text, others) as often as the mix takes them, whole.
+
+    The document at the end of a source's budget is taken where half of it or more is wanted, so that a source differs from
+    its target by half a document at most. Documents without a word, also null texts, go. Rows are told apart, so
+    null and repeated doc_ids and repeated rows count by themselves; extra columns come along under any name. An
+    empty table gives an empty result.
+    """
+    mixed = mix(weighed(docs, labels, carry=True), carry=["row"]).filter("taken > 0")
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(1), times)).alias("one")).select("row.*")
+
+
+def mix(
+    rows: DataFrame, seed: str = "mix", weights=WEIGHTS, most: int = MOST_EPOCHS, digits: int = DIGITS, carry: list[str] | None = None
+) -> DataFrame:
+    """doc_id, size, source_size, target, taken for rows of doc_id, source, size, weight (above 0; null counts as 1), and the
+    columns named by `carry`.
 
     taken is the epochs times the size, and once more the size for documents in the part of the key order that the rest
     of the budget covers; the document at its end gives the words still wanting, so sources meet their targets. Rows
     without a word take none. Ties of keys go by doc_id, null last. Repeated rows share a key and are taken one after the
     other. An empty table gives an empty result.
     """
+    carry = carry or []
     weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0))
     key = exponential_key(F.col("doc_id"), weight, seed)
     place = F.floor((1 - F.exp(-key)) * float(DIGIT**digits))  # keys in order, evenly over all digits
     rows = stored(
-        rows.select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"), key.alias("key"), place.alias("place")), "keys"
+        rows.select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"), key.alias("key"), place.alias("place"), *carry), "keys"
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, most)
@@ -118,4 +145,4 @@ def mix(rows: DataFrame, seed: str = "mix", weights=WEIGHTS, most: int = MOST_EP
     left = F.col("rest") - F.coalesce(F.sum("size").over(order), F.lit(0))
     edge = placed.filter(F.col("place") == F.col("prefix")).withColumn("part", F.greatest(F.lit(0), F.least("size", left)))
     taken = F.col("epochs") * F.col("size") + F.col("part")
-    return sure.unionByName(edge).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return sure.unionByName(edge).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *carry)

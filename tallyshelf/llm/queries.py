@@ -75,7 +75,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
-    return secret_scan.scan(table(spark, sf_dir, "documents")).drop("found")
+    return secret_scan.scan(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("found")
 
 
 @query
@@ -87,7 +87,7 @@ def op7_weak_labels_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the sources' weights; documents of known good quality are drawn earlier, of bad later."""
-    return mixing.mix(corpus_pipeline.weighed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    return mixing.mix(mixing.weighed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 ORACLES["op8_source_mix"] = r"""

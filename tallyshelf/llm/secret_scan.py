@@ -1,13 +1,16 @@
 """Secrets: fixed patterns, and password guess cost for values in a credential's context.
 
 The guess cost of a value is the least cost of any way to cut it into words, dates, repeats, runs, keyboard walks and spans
-that only trying all characters finds, by dynamic programming over its positions. Values that would take more guesses
-than the bound are reported.
+that only trying all characters finds, by dynamic programming over its positions. A word costs its rank: frequent passwords
+come first, then words in the order of a public vocabulary and, as far as they rank better, of their frequency in the
+corpus, where values in a credential's context do not count. Values that would take more guesses than the bound are
+reported.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from bisect import bisect_left
@@ -15,8 +18,11 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from tallyshelf.llm.common import slices
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -39,8 +45,12 @@ ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 # Letters that signs and digits stand for.
 LEET = str.maketrans("43105$7@", "aeiossta")
 
+#: words of vocabulary and corpus: least and greatest length, and how many of the corpus are ranked (half a megabyte)
+WORD_LENGTHS, CORPUS_WORDS = (4, 20), 1 << 15
+BATCH = 4_000_000
+
 RANKS = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST_WORD = max(map(len, WORDS))
+LONGEST_WORD = max(max(map(len, WORDS)), WORD_LENGTHS[1])
 DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d")
 REPEAT = re.compile(r"(.{1,16}?)\1+")
 
@@ -57,21 +67,56 @@ def _neighbours() -> dict[str, str]:
 NEAR = _neighbours()
 
 
-def segments(value: str, depth: int = 0) -> Iterator[tuple[int, int, float]]:
+def vocabulary_words(path: str) -> list[str]:
+    """Whole words of a tokenizer file whose tokens say where a word ends, in the order of their ids, so frequent ones first."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file)["model"]["vocab"]
+    words = ((i, t.removesuffix("</w>")) for t, i in tokens.items() if t.endswith("</w>"))
+    return [w for _, w in sorted(words) if w.isalpha() and WORD_LENGTHS[0] <= len(w) <= WORD_LENGTHS[1]]
+
+
+def corpus_words(docs: DataFrame, most: int = CORPUS_WORDS) -> list[str]:
+    """The most frequent words of all texts in ASCII letters, values in a credential's context left out."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", BATCH):
+                texts = [t if t is None or not (":" in t or "=" in t) else CONTEXT.sub(" ", t) for t in part.column("text").to_pylist()]
+                letters = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(pa.array(texts, pa.large_string()), "")), "[^a-z]+", " ")
+                words = pc.ascii_split_whitespace(letters).flatten()
+                length = pc.binary_length(words)
+                fit = pc.and_(pc.greater_equal(length, WORD_LENGTHS[0]), pc.less_equal(length, WORD_LENGTHS[1]))
+                seen = words.filter(fit).value_counts()
+                yield pa.RecordBatch.from_arrays([seen.field("values").cast(pa.string()), seen.field("counts")], ["word", "n"])
+
+    counts = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def ranked(*lists: list[str]) -> dict[str, int]:
+    """The best rank of each word, after the frequent passwords."""
+    ranks = dict(RANKS)
+    for words in lists:
+        for i, word in enumerate(words, len(WORDS) + 1):
+            ranks[word] = min(i, ranks.get(word, i))
+    return ranks
+
+
+def segments(value: str, depth: int = 0, ranks: dict[str, int] = RANKS) -> Iterator[tuple[int, int, float]]:
     """begin, end and cost (log10 of guesses) of what is cheaper than trying all characters."""
     low = value.lower()
     plain = low.translate(LEET)
     n = len(value)
     for i in range(n):
         for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            rank = RANKS.get(low[i:j]) or 2 * RANKS.get(plain[i:j], 0)
+            rank = ranks.get(low[i:j]) or 2 * ranks.get(plain[i:j], 0)
             if rank:
                 yield i, j, math.log10(rank + 1) + 0.3 * (value[i:j] != low[i:j])
         if (found := DATE.match(value, i)) is not None:
             yield i, found.end(), math.log10(365 * 120 if found.end() - i > 4 else 120)
     for found in REPEAT.finditer(value) if depth == 0 else ():
         if found.end() - found.start() >= 3:
-            yield *found.span(), guess_cost(found[1], 1) + math.log10((found.end() - found.start()) // len(found[1]))
+            yield *found.span(), guess_cost(found[1], 1, ranks) + math.log10((found.end() - found.start()) // len(found[1]))
     i = 0
     while i < n - 2:  # runs: letters or digits in steps of one
         step = ord(value[i + 1]) - ord(value[i])
@@ -93,11 +138,11 @@ def segments(value: str, depth: int = 0) -> Iterator[tuple[int, int, float]]:
         i = max(j - 1, i + 1)
 
 
-def guess_cost(value: str, depth: int = 0) -> float:
+def guess_cost(value: str, depth: int = 0, ranks: dict[str, int] = RANKS) -> float:
     """log10 of the guesses that the cheapest segmentation takes; a character alone takes ten."""
     best = [0.0] + [math.inf] * len(value)
     ending: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in segments(value, depth):
+    for i, j, cost in segments(value, depth, ranks):
         ending.setdefault(j, []).append((i, cost))
     for j in range(1, len(value) + 1):
         best[j] = best[j - 1] + 1
@@ -106,7 +151,7 @@ def guess_cost(value: str, depth: int = 0) -> float:
     return best[-1]
 
 
-def find_secrets(text: str) -> list[tuple[int, int, int]]:
+def find_secrets(text: str, ranks: dict[str, int] = RANKS) -> list[tuple[int, int, int]]:
     """start, kind and end (exclusive, in code points) of all secrets of a text, by start and kind."""
     spans = [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if "AKIA" in text:
@@ -121,24 +166,27 @@ def find_secrets(text: str) -> list[tuple[int, int, int]]:
             before = bisect_left(starts, end)
             # a base span that reaches as far covers the value already; one that ends inside it does not
             beyond = not before or reach[before - 1] < end
-            if beyond and end - start >= SHORTEST and guess_cost(text[start:end]) >= BOUND:
+            if beyond and end - start >= SHORTEST and guess_cost(text[start:end], ranks=ranks) >= BOUND:
                 spans.append((start, 3, end))
     return sorted(spans)
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans, found for every row of `docs` (doc_id, text).
 
     found holds kind, start, end and text of each span; spans joins kind:start:end by start and kind; base_sha256 is of
-    those without `guess`. Null text counts as empty and holds nothing. An empty table gives an empty result.
+    those without `guess`. `vocabulary` is the path of a tokenizer file for words (see `vocabulary_words`); the corpus's own
+    words are counted in any case. Null text counts as empty and holds nothing, very long texts are read whole, repeated
+    rows and ids give rows of their own. An empty table gives an empty result; other columns are not read.
     """
+    ranks = ranked(vocabulary_words(vocabulary) if vocabulary else [], corpus_words(docs))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column("text"):
                 text = text.as_py() or ""
-                spans = find_secrets(text)
+                spans = find_secrets(text, ranks)
                 named = [f"{KINDS[k]}:{s}:{e}" for s, k, e in spans]
                 base = ",".join(n for n, (_, k, _) in zip(named, spans, strict=True) if k < 3)
                 counts = [sum(k == i for _, k, _ in spans) for i in range(len(KINDS))]
