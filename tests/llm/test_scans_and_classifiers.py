@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,15 @@ def test_values_after_prefixed_names_and_with_signs_are_found_whole(line, value)
     assert guessed == [value]
 
 
+def test_ordinary_words_after_a_credentials_name_are_no_secrets(table):
+    prose = ["pwd: international", "credentials: required", "passphrase: documentation", "client_secret => everything", "access_token = placeholder"]
+    prose += ["pwd: thonearehandtion", "passphrase: see the thonearehandtion here, thonearehandtion"]  # a word of the corpus
+    kept = ["pwd: x9$Kq!2vLmP7", "passphrase: Zr4vQ8nLw2Tk", "private-key: qvxkzjwphtbmd", "pwd: qvxkzjwphtbmd"]
+    rows = [*enumerate(prose), *enumerate(kept, 100)]
+    got = {r.doc_id: r.n_guess for r in secret_scan.scan(table(DOC, rows), public_tokenizers.path("word_bpe_49k.json")).collect()}
+    assert [got[i] for i in range(len(prose))] == [0] * len(prose) and [got[100 + i] for i in range(len(kept))] == [1] * len(kept)
+
+
 def test_a_value_that_a_base_span_covers_is_not_reported_again():
     assert [k for _, k, _ in secret_scan.find_secrets("my_token=Zr4vQ8nLw2Tk")] == [0]
 
