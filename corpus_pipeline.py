@@ -13,15 +13,6 @@ from tallyshelf.llm.common import held_out, kept_rows, normalized, stored
 
 #: Stages hold a trained classifier, similarities and a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def weighed(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, source, size, weight: 2 for documents labelled as good, 0.5 for bad ones, 1 for those without a label."""
-    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    weight = F.when(F.col("quality") == 1, 2.0).when(F.col("quality").isNotNull(), 0.5).otherwise(1.0)
-    return rows.join(known, "doc_id", "left").select("doc_id", "source", "size", weight.alias("weight"))
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,22 +33,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one at the end of a source's budget with its first words only.
-
-    Documents of which the mix takes no word go, and those without words. Rows with the same doc_id and number of words
-    are taken alike.
-    """
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    taken = mixing.mix(weighed(docs, labels)).filter("taken > 0").groupBy("doc_id", "size").agg(F.max("taken").alias("taken"))
-    rows = docs.withColumn("_size", mixing.word_count(F.col("text")))
-    plan = stored(taken, "taken").select(F.col("doc_id").alias("_doc_id"), F.col("size").alias("_words"), F.col("taken").alias("_taken"))
-    rows = rows.join(plan, rows["doc_id"].eqNullSafe(plan["_doc_id"]) & (F.col("_size") == F.col("_words")))
-    copies = F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))
-    rows = rows.withColumn("_copy", F.explode(copies)).withColumn("_rest", F.col("_taken") - (F.col("_copy") - 1) * F.col("_size"))
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_rest").cast("int")), " ")
-    cut = F.col("_rest") < F.col("_size")
-    rows = rows.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
-    return rows.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Documents as often as the mix takes them, whole; those without words go."""
+    return mixing.copies(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
