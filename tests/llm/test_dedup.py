@@ -147,6 +147,28 @@ def test_near_duplicates_of_odd_rows(table):
     assert sorted(r.kept for r in twice) == [False, False, True]
 
 
+def test_negative_ids_stay_what_they_are(table):
+    got = near_dedup.near_duplicates(table(DOC, [(-1, "a b c"), (3, "a b c"), (0, "x y z"), (None, "x y z"), (-2, None)])).collect()
+    assert Counter((r.doc_id, r.class_id, r.kept) for r in got) == Counter({(-1, -1, True): 1, (3, -1, False): 1, (0, None, False): 1, (None, None, True): 1, (-2, -2, True): 1})
+
+
+@pytest.mark.parametrize("leaders", [0, 3])
+def test_who_reaches_nobody_is_left_out_and_no_link_is_lost(table, monkeypatch, leaders):
+    monkeypatch.setattr(near_dedup, "CROWDED", 2)
+    monkeypatch.setattr(near_dedup, "LEADERS", leaders)
+    met, remaining = [], near_dedup.remaining_pairs
+    monkeypatch.setattr(near_dedup, "remaining_pairs", lambda *a: met.append(remaining(*a)) or met[-1])
+    base, rows = words(1, 200), []
+    for k in range(120):  # most are farther than 0.8 from each other, some are near copies of these
+        own = varied(base, [0.0, 0.01, 0.02, 0.03, 0.04][k % 5], k).split()
+        rows.append((k, " ".join(own)))
+        if k % 7 == 0:
+            rows.append((1000 + k, " ".join([*own[:100], "y", *own[100:]])))
+    got = near_dedup.near_duplicates(table(DOC, rows)).collect()
+    assert {r.doc_id: r.class_id for r in got} == plain_classes(rows)
+    assert met and met[0].count() < 120 * 119 / 2 / 2
+
+
 def test_linked_pairs_with_few_equal_samples_are_found(table):
     r = random.Random(22337)  # 33 of 60 samples agree, at a similarity of 0.803
     a = [f"w{r.randrange(4000)}" for _ in range(53)]
@@ -217,6 +239,24 @@ def test_repeated_passages_across_the_parts_of_a_long_text(table, monkeypatch):
     assert Counter(map(tuple, got.collect())) == plain_repeats(rows, 400)
 
 
+def test_texts_with_equal_polynomial_hashes_are_told_apart(table):
+    """Thue-Morse arrangements of two strings, whose polynomials modulo 2**64 are equal for any odd base."""
+    turn = [bin(i).count("1") % 2 for i in range(64)]
+    start = text(8, 100)[:208]
+    rows = [(k, start + "".join(("s7m", "s7V")[t ^ k] for t in turn)) for k in (0, 1)]
+    assert len(rows[0][1]) == 400
+    got = repeats.without_repeats(table(DOC, rows)).collect()
+    assert [(r.n_bytes, r.n_removed) for r in got] == [(400, 0), (400, 0)]
+
+
+def test_many_equal_rows_without_an_id(table):
+    passage = text(9, 200)
+    rows = [(None, passage)] * 1000 + [(1, passage + "x"), (2, text(10, 200))]
+    got = Counter(map(tuple, repeats.without_repeats(table(DOC, rows)).collect()))
+    few = plain_repeats(rows[-4:], 400)  # two of the equal rows and the others
+    assert got == Counter({row: 1000 if row[0] is None else n for row, n in few.items()})
+
+
 def test_leftmost_minima():
     r = np.random.default_rng(1)
     for n, width in ((1, 1), (7, 3), (50, 50), (64, 9)):

@@ -4,12 +4,12 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from tallyshelf.llm import near_dedup, toxicity
+from tallyshelf.llm import mixing, near_dedup, toxicity
 from tallyshelf.llm.queries import ORACLES, QUERIES
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11)) and "pipeline" in QUERIES
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14)) and "pipeline" in QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -44,8 +44,15 @@ def test_stages_keep_what_they_should(spark, sf):
     mix = corpus_pipeline.mixed(spark, near, sf)
     assert mix.columns == docs.columns
     rows = mix.collect()
-    assert sum(len(r.text.split()) for r in rows) == pytest.approx(sum(len(r.text.split()) for r in near.collect()), abs=30)
-    assert all(texts[r.doc_id] == r.text or " ".join(texts[r.doc_id].split()).startswith(r.text) for r in rows)
+    assert all(texts[r.doc_id] == r.text for r in rows)
+    planned = mixing.mix(mixing.weighed(near, spark.read.parquet(f"{sf}/labels.parquet"), carry=True), carry=["row"]).collect()
+    target, longest, held = {}, {}, {}
+    for r in planned:
+        source = r.row.source
+        target[source], longest[source] = r.target, max(longest.get(source, 0), r.size)
+    for r in rows:
+        held[r.source] = held.get(r.source, 0) + len(r.text.split())
+    assert all(abs(held.get(source, 0) - target[source]) <= longest[source] / 2 + 1 for source in target)
     assert corpus_pipeline.packed(spark, mix, sf).select("doc_id").distinct().count() == len({r.doc_id for r in rows})
 
 
@@ -59,3 +66,12 @@ def test_stages_take_empty_tables_and_repeated_rows(spark, sf, tmp_path):
             assert docs.count() >= least, name
             if name == "exact dedup" and least:
                 assert sorted((r.doc_id, r.text) for r in docs.collect()) == [(1, "a b"), (1, "other text"), (2, None)]
+
+
+def test_mixing_tells_rows_apart(spark, sf):
+    schema = "doc_id long, text string, source string, _size long, size long, row string, weight string"
+    rows = [(None, "a b c", "s", 77, 1, "x", "w"), (None, "d e f", "t", 77, 1, "x", "w"), (5, "g h i", "s", 1, 1, "y", "w"), (5, "j k l", "s", 1, 1, "z", "w"), (6, None, "s", 1, 1, "", ""), (7, "m " * 50_000, None, 1, 1, "", "")]
+    docs = spark.createDataFrame(rows, schema)
+    mix = corpus_pipeline.mixed(spark, docs, sf)
+    assert mix.columns == docs.columns and {tuple(r) for r in mix.collect()} <= set(rows)
+    assert {r.source for r in mix.collect()} == {"s", "t", None}
