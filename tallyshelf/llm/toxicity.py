@@ -2,8 +2,8 @@
 
 Three zstandard dictionaries of raw content are made from learning text: all hold frequent words of ordinary text, one
 also the strings that mark toxic text best, one all strings and word pairs that occur more often in toxic text, as far as
-zstandard's dictionary size goes, and one further ordinary words. A window is a word, or two words in a row (these overlap),
-between two frames that all dictionaries know: words meet the first dictionary, pairs the second. How long a window gets
+zstandard's dictionary size goes, and one further ordinary words. A window is a word, between two frames that all
+dictionaries know; two words in a row are one too where the dictionary lists them as a pair. How long a window gets
 with the toxic dictionary, and how much longer with the ordinary one, sorts the windows of a text; a logistic regression
 calibrates the counts above the thresholds of both. It is fitted on counts by dictionaries of the other
 learning rows, as a text's own rare words tell nothing.
@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tallyshelf.llm.common import slices, stored
+from tallyshelf.llm.common import byte_runs, slices, stored
 
 #: The classifier is fitted on at most so many labelled rows of either kind, those with the least hash of the doc_id.
 FIT_ROWS = 4000
@@ -153,12 +153,33 @@ def toxic_strings(marks: dict[str, float], most: int) -> list[str]:
     return out
 
 
+def byte_grams(data: np.ndarray) -> np.ndarray:
+    """The GRAM bytes from each place on, as numbers."""
+    n = max(len(data) - GRAM + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        out |= data[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
 class Windows:
-    """Compressed lengths of windows under the two dictionaries, as a cell of length and gain, or -1 without gain."""
+    """Compressed lengths of windows under the two dictionaries, as a cell of length and gain, or -1 without gain.
+
+    Only windows that hold GRAM bytes of a string that the toxic dictionary has alone, or are a pair of words that it has
+    alone, are compressed: what others could gain is an accident of shorter matches.
+    """
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         import zstandard
 
+        own = toxic[: toxic.rfind(b"\n") + 1]  # what is shared is one line, the last
+        lines = own.split(b"\n")
+        pairs = [line for line in lines if b" " in line.strip()]  # strings have blanks at their ends alone
+        self.pairs = pa.array([line.decode() for line in pairs], pa.large_string())
+        strings = b"\n".join(line for line in lines if b" " not in line.strip())
+        self.grams = np.unique(byte_grams(np.frombuffer(strings, np.uint8)))
+        self.marked = np.zeros(1 << 20, bool)
+        self.marked[self.place(self.grams)] = True
         self.compressors = []
         for content in (toxic, ordinary):
             known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -167,6 +188,21 @@ class Windows:
         self.bare = len(self.compressors[0].compress(FRAME + FRAME))
         self.known: dict[str, int] = {}
 
+    def place(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+    def touched(self, windows: pa.Array) -> np.ndarray:
+        """Which windows, with a blank before and after, hold GRAM bytes of a toxic string or are a toxic pair."""
+        blank, windows = pa.scalar(" ", pa.large_string()), windows.cast(pa.large_string())
+        data, starts = byte_runs(pc.binary_join_element_wise(blank, windows, blank, pa.scalar("", pa.large_string())))
+        grams = byte_grams(data)
+        hits = np.flatnonzero(self.marked[self.place(grams)])
+        hits = hits[np.isin(grams[hits], self.grams)]
+        window = np.searchsorted(starts, hits, side="right") - 1
+        out = np.asarray(pc.is_in(windows, value_set=self.pairs), bool) if len(self.pairs) else np.zeros(len(windows), bool)
+        out[window[hits + GRAM <= starts[window + 1]]] = True
+        return out
+
     def cell(self, word: str) -> int:
         found = self.known.get(word)
         if found is None:
@@ -181,18 +217,19 @@ class Windows:
         """Per text: logarithms of the number, and of the share, of windows beyond each pair of thresholds; and the size."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
+        n = (np.bincount(own, minlength=texts) + 1.0)[:, None]
         coded = windows.dictionary_encode()
-        cells, pieces = [], []
-        for word in coded.dictionary.to_pylist():
+        distinct = coded.dictionary
+        cells, pieces = np.full(len(distinct), -1), []
+        place = np.flatnonzero(self.touched(distinct))
+        for k, word in zip(place.tolist(), distinct.take(pa.array(place)).to_pylist(), strict=True):
             if len(word) > WIDEST:  # a long word is several windows
-                many = np.array([self.cell(word[i : i + WIDEST]) for i in range(0, len(word), WIDEST)])
-                pieces.append((len(cells), many))
-                cells.append(-1)
+                pieces.append((k, np.array([self.cell(word[i : i + WIDEST]) for i in range(0, len(word), WIDEST)])))
             else:
-                cells.append(self.cell(word) if word else -1)
+                cells[k] = self.cell(word)
         size = LENGTHS * GAINS
         index = coded.indices.to_numpy(zero_copy_only=False)
-        cell = np.array(cells, np.int64)[index] if len(index) else np.zeros(0, np.int64)
+        cell = cells[index] if len(index) else np.zeros(0, np.int64)
         hit = cell >= 0
         counts = np.bincount(own[hit] * size + cell[hit], minlength=texts * size)
         for place, many in pieces:
@@ -200,21 +237,24 @@ class Windows:
                 np.add.at(counts, row * size + many[many >= 0], 1)
         counts = counts.reshape(texts, LENGTHS, GAINS)
         beyond = counts[:, :, ::-1].cumsum(2)[:, :, ::-1].cumsum(1).reshape(texts, size)
-        n = (np.bincount(own, minlength=texts) + 1.0)[:, None]
         return np.hstack([np.log1p(beyond), np.log(n), np.log1p(300 * beyond / n)])
 
 
 class Measures:
-    """Features of texts by words under the best strings and by pairs of words under all marks."""
+    """Features of texts by words under the best strings, and by words and toxic pairs of words under all marks."""
 
     def __init__(self, best: bytes, some: bytes, ordinary: bytes):
-        self.words, self.pairs = Windows(best, ordinary), Windows(some, ordinary)
+        self.best, self.some = Windows(best, ordinary), Windows(some, ordinary)
 
     def features(self, texts: pa.Array) -> np.ndarray:
         words = words_of(texts)
         own = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy(zero_copy_only=False))
         flat = words.flatten()
-        return np.hstack([self.words.features(own, flat, len(words)), self.pairs.features(*pairs_of(own, flat), len(words))])
+        of_pair, pairs = pairs_of(own, flat)
+        toxic = pc.is_in(pairs, value_set=self.some.pairs)
+        of_pair, pairs = of_pair[np.asarray(toxic, bool)], pairs.filter(toxic)
+        some = np.concatenate([own, of_pair]), pa.concat_arrays([flat, pairs])
+        return np.hstack([self.best.features(own, flat, len(words)), self.some.features(*some, len(words))])
 
 
 def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
