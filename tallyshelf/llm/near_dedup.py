@@ -7,8 +7,13 @@ band of samples meet in a bucket, and weighted Jaccard similarity is computed fo
 
 A bucket's texts need not all be compared: what matters is which are linked in the end. In some rounds every bucket's
 texts get one of them as a leader, another in each round, and each text is compared with the two leaders that agree best
-with it and that it is not linked with yet; after these, all pairs that are still not linked. Classes are the connected components of the verified links. Texts with equal words are one
-from the start.
+with it and that it is not linked with yet; after these, all pairs that are still not linked and that can be similar.
+
+In a family of near copies most of these cannot. Texts x and y of weights |x| and |y| are similar only if they share a
+weight of t / (1 + t) * (|x| + |y|), and what x can share is what it has in common with any text that it is not linked
+with. This gives x a reach, the greatest |y| it can be similar to; whoever reaches nobody leaves, takes its shingles
+along, and so shortens the reach of others. Nothing similar is lost by this. Classes are the connected components of the
+verified links. Texts with equal words are one from the start.
 """
 
 from __future__ import annotations
@@ -31,10 +36,14 @@ AGREE = 32
 SIMILAR = 0.8
 #: rounds of comparing with one text per bucket
 LEADERS = 3
+#: buckets of more open texts have these sorted out by reach before they meet, in so many rounds; of smaller ones all meet
+CROWDED, SORTINGS = 16, 2
 BATCH = 1_000_000
 #: cells that words are hashed to for their document frequencies
 CELLS = 1 << 18
 TABLE = 1 << 16
+#: what names a row
+KEY = ["id", "known", "text_hash"]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -121,9 +130,9 @@ class Sampler:
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """id (null as -1), text_hash and text of each row."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    """id (0 where it is null), known (whether it is not), text_hash and text of each row."""
+    text, key = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(key, F.lit(0).cast("long")).alias("id"), key.isNotNull().alias("known"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
@@ -149,7 +158,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, idf: np.ndarray) -> DataFrame:
-    """id, text_hash, node (a hash of the words), words, signature for rows of id, text_hash, text."""
+    """id, known, text_hash, node (a hash of the words), words, signature for rows of id, known, text_hash, text."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
@@ -161,11 +170,11 @@ def signatures(rows: DataFrame, idf: np.ndarray) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SAMPLES, dtype=np.int32)), flat)
                 node = text_keys(hashes, counts)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("text_hash"), pa.array(node.view(np.int64)), pa.array(counts.astype(np.int64)), lists],
-                    ["id", "text_hash", "node", "words", "signature"],
+                    [*(part.column(c) for c in KEY), pa.array(node.view(np.int64)), pa.array(counts.astype(np.int64)), lists],
+                    [*KEY, "node", "words", "signature"],
                 )
 
-    return rows.mapInArrow(sign, "id long, text_hash long, node long, words long, signature array<int>")
+    return rows.mapInArrow(sign, "id long, known boolean, text_hash long, node long, words long, signature array<int>")
 
 
 def cell_of(hashes: np.ndarray) -> np.ndarray:
@@ -252,17 +261,56 @@ def leading_pairs(own: DataFrame, lead: DataFrame, tied: DataFrame, chosen: Data
     return seen.withColumn("i", F.row_number().over(best)).filter("i <= 2").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def remaining_pairs(own: DataFrame, open_buckets: DataFrame, chosen: DataFrame) -> DataFrame:
-    """a and b: all pairs of a bucket that agree well enough and are not linked. What is not of the bucket's largest part
-    meets all of the bucket; a pair counts in the first band that it shares alone."""
-    own = own.join(open_buckets.select("bucket"), "bucket", "left_semi").join(chosen, "node")
+def shingle_weights(nodes: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """node, root, shingle, weight of the shingles of some texts; nodes: node, root."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", BATCH):
+                own, h, weight = weighted_shingles(*word_hashes(part.column("text")), idf)
+                own = pa.array(own)
+                yield pa.RecordBatch.from_arrays([part.column("node").take(own), part.column("root").take(own), pa.array(h.view(np.int64)), pa.array(weight)], ["node", "root", "shingle", "weight"])
+
+    return nodes.join(texts, "node").select("node", "root", "text").mapInArrow(cut, "node long, root long, shingle long, weight double")
+
+
+def within_reach(own: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """bucket, band, node, root, weight, reach: the texts of open buckets that can be similar to one of their bucket that
+    they are not linked with; in buckets that are not crowded all texts, with null as weight and reach."""
+    share = SIMILAR / (1 + SIMILAR)
+    sizes = side(own.groupBy("bucket").agg((F.count(F.lit(1)) > CROWDED).alias("crowded")))
+    own = stored(own.join(sizes, "bucket").select("bucket", "band", "node", "root", "crowded"), "sized")
+    unknown = F.lit(None).cast("double")
+    free = own.filter("not crowded").select("bucket", "band", "node", "root", unknown.alias("weight"), unknown.alias("reach"))
+    crowd = own.filter("crowded").drop("crowded")
+    if crowd.isEmpty():
+        return free
+    shingles = stored(shingle_weights(crowd.select("node", "root").distinct(), texts, idf), "shingles")
+    weights, held = stored(shingles.groupBy("node").agg(F.sum("weight").alias("weight")), "weights"), shingles
+    for _ in range(SORTINGS):
+        common = side(held.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle"))
+        usable = held.join(common, "shingle", "left_semi").groupBy("node").agg(F.sum("weight").alias("usable")).join(weights, "node")
+        reach = stored(usable.select("node", "weight", (F.col("usable") * (1 + 1e-9) / share - F.col("weight")).alias("reach")), "reach")
+        reaching = crowd.join(reach, "node")
+        least = side(reaching.groupBy("bucket").agg(F.min("weight").alias("least"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high"))
+        kept = stored(reaching.join(least, "bucket").filter("reach >= least").select(*free.columns), "crowd")
+        crowd = kept.drop("weight", "reach")
+        held = shingles.join(crowd.select("node").distinct(), "node", "left_semi")
+    return free.unionByName(kept)
+
+
+def remaining_pairs(own: DataFrame, open_buckets: DataFrame, chosen: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """a and b: all pairs of a bucket that agree well enough, reach each other and are not linked. What is not of the bucket's
+    largest part meets all of the bucket; a pair counts in the first band that it shares alone."""
+    own = within_reach(own.join(open_buckets.select("bucket"), "bucket", "left_semi"), texts, idf).join(chosen, "node")
     main = side(own.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main")))
     own = stored(own.join(main, "bucket"), "open")
-    x = own.filter("root <> main").select("bucket", "band", *[F.col(c).alias(f"{c}_x") for c in ("node", "root", "signature")], "main")
-    y = own.select(F.col("bucket").alias("bucket_y"), *[F.col(c).alias(f"{c}_y") for c in ("node", "root", "signature")])
+    x = own.filter("root <> main").select("bucket", "band", *[F.col(c).alias(f"{c}_x") for c in ("node", "root", "signature", "weight", "reach")], "main")
+    y = own.select(F.col("bucket").alias("bucket_y"), *[F.col(c).alias(f"{c}_y") for c in ("node", "root", "signature", "weight", "reach")])
+    reached = F.coalesce((F.col("weight_x") <= F.col("reach_y")) & (F.col("weight_y") <= F.col("reach_x")), F.lit(True))
     earlier = F.exists(F.sequence(F.lit(0), F.lit(SAMPLES // ROWS - 1)), lambda i: (i < F.col("band")) & (F.slice("signature_x", i * ROWS + 1, ROWS) == F.slice("signature_y", i * ROWS + 1, ROWS)))
     once = (F.col("root_y") == F.col("main")) | (F.col("node_x") < F.col("node_y"))  # two of the others meet once
-    fit = (F.col("bucket") == F.col("bucket_y")) & (F.col("root_x") != F.col("root_y")) & once & (agreement(F.col("signature_x"), F.col("signature_y")) >= AGREE) & ~earlier
+    fit = (F.col("bucket") == F.col("bucket_y")) & (F.col("root_x") != F.col("root_y")) & once & reached & (agreement(F.col("signature_x"), F.col("signature_y")) >= AGREE) & ~earlier
     return x.join(y, fit).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
 
 
@@ -274,7 +322,7 @@ def links(rows: DataFrame, idf: np.ndarray, signed: DataFrame) -> DataFrame:
     shared = side(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"))
     members = stored(bands.join(shared, "bucket", "left_semi"), "members")
     chosen = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    texts = stored(rows.join(chosen.select("id", "text_hash", "node"), ["id", "text_hash"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = stored(rows.join(chosen.select(*KEY, "node"), KEY).select("node", "text").dropDuplicates(["node"]), "texts")
     chosen = stored(chosen.select("node", "signature"), "signatures")
 
     tied = rows.sparkSession.createDataFrame([], "u long, v long")
@@ -289,7 +337,7 @@ def links(rows: DataFrame, idf: np.ndarray, signed: DataFrame) -> DataFrame:
         lead = side(lead.withColumn("lead", F.col("first").bitwiseXOR(order)))
         if lead.isEmpty():  # every bucket's texts are linked
             break
-        pairs = leading_pairs(own, lead, tied, chosen) if turn < LEADERS else remaining_pairs(own, lead, chosen)
+        pairs = leading_pairs(own, lead, tied, chosen) if turn < LEADERS else remaining_pairs(own, lead, chosen, texts, idf)
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
@@ -300,28 +348,28 @@ def links(rows: DataFrame, idf: np.ndarray, signed: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, class_size, kept for every row of `docs` (doc_id, text).
+    """doc_id, class_id, class_size, kept, text_hash for every row of `docs` (doc_id, text).
 
     Rows are in one class if a chain of links joins them, each between texts with equal words or with a weighted Jaccard
-    similarity of 0.8 or more. class_id is the least doc_id of the class, and that row stays (one of them, if several rows
-    hold that doc_id and the same text). Null texts count as empty; a text without a word is alone, as are texts whose
-    only near ones are themselves. A null doc_id counts as -1, and is null in the result. An empty table gives an empty
-    result; other columns are not read.
+    similarity of 0.8 or more. class_id is the least doc_id of the class, null before all others, and that row stays (one of
+    them, if several rows hold that doc_id and the same text). Null texts count as empty; a text without a word is alone,
+    as are texts whose only near ones are themselves. Very long texts count whole. Repeated rows come back as often. An
+    empty table gives an empty result; other columns are not read.
     """
     rows = placed(docs)
     idf = inverse_frequencies(rows)
     signed = stored(signatures(rows, idf), "signed")
     tied = links(rows, idf, signed).withColumnRenamed("u", "node")
-    known = signed.filter("words > 0").groupBy("id", "text_hash", "node").agg(F.count(F.lit(1)).alias("copies"))
-    known = known.join(tied, "node", "left").select("id", "text_hash", "copies", F.coalesce("v", "node").alias("root"))
+    known = signed.filter("words > 0").groupBy(*KEY, "node").agg(F.count(F.lit(1)).alias("copies"))
+    known = known.join(tied, "node", "left").select(*KEY, "copies", F.coalesce("v", "node").alias("root"))
     known = stored(known, "classes")
-    classes = side(known.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size")))
-    first = side(known.join(classes, "root").filter("id = class_id").groupBy("root").agg(F.min("text_hash").alias("first_hash")))
+    name = F.struct("known", "id")  # null ids come first
+    classes = side(known.groupBy("root").agg(F.min(F.struct("known", "id", "text_hash")).alias("first"), F.sum("copies").alias("class_size")))
     held = (
         known.join(classes, "root")
-        .join(first, "root")
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-        .select("id", "text_hash", "class_id", "class_size", ((F.col("id") == F.col("class_id")) & (F.col("copy") == 1) & (F.col("text_hash") == F.col("first_hash"))).alias("kept"))
+        .select(*KEY, F.struct("first.known", "first.id").alias("class"), "class_size", ((F.struct("known", "id", "text_hash") == F.col("first")) & (F.col("copy") == 1)).alias("kept"))
     )
-    alone = signed.filter("words = 0").select("id", "text_hash", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
-    return held.unionByName(alone).select(F.nullif("id", F.lit(-1)).alias("doc_id"), F.nullif("class_id", F.lit(-1)).alias("class_id"), "class_size", "kept", "text_hash")
+    alone = signed.filter("words = 0").select(*KEY, name.alias("class"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    given = lambda known, key: F.when(F.col(known), F.col(key))
+    return held.unionByName(alone).select(given("known", "id").alias("doc_id"), given("class.known", "class.id").alias("class_id"), "class_size", "kept", "text_hash")
