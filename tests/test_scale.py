@@ -39,3 +39,16 @@ def test_requests_meet_the_corpus_without_moved_products(spark, monkeypatch, ent
     expected = nearest_by_hand(TEXTS, [i for i, _ in TEXTS if i % 2], 4)
     assert [tuple(r) for r in near.select("id", "neighbour", "similarity", "place").orderBy("id", "place").collect()] == [(a, b, pytest.approx(s, abs=2e-6), p) for a, b, s, p in expected]
     assert "FlatMapCoGroupsInArrow" in plan_of(near)
+
+
+@pytest.mark.parametrize("entries, at_once", [(1_000_000, 2_000_000), (9, 5)])
+def test_requests_meet_posting_lists_without_moved_products(spark, monkeypatch, entries, at_once):
+    monkeypatch.setattr(neighbours, "ENTRIES", entries)
+    monkeypatch.setattr(neighbours, "AT_ONCE", at_once)
+    monkeypatch.setattr(postings, "BLOCK", 3)
+    docs, path = spark.createDataFrame(TEXTS, "id long, text string"), fresh_path(spark, "postings")
+    postings.write_postings(tfidf.tfidf_vectors(docs), path)
+    near = postings.nearest_by_postings(spark, path, docs.select("id"), docs.select("id").where("id % 2 = 1"), 4)
+    expected = nearest_by_hand(TEXTS, [i for i, _ in TEXTS if i % 2], 4)
+    assert [tuple(r) for r in near.select("id", "neighbour", "similarity", "place").orderBy("id", "place").collect()] == [(a, b, pytest.approx(s, abs=2e-6), p) for a, b, s, p in expected]
+    assert "FlatMapCoGroupsInArrow" in plan_of(near)
