@@ -42,13 +42,12 @@ def _word_counts(long: DataFrame, stop_words: list[str]) -> DataFrame:
     return each.groupBy("field", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _pair_counts(long: DataFrame, stop_words: list[str]) -> DataFrame:
-    """Neighbouring words of one text, none of them a stop word: field, a, b, n."""
+def _pairs(long: DataFrame, stop_words: list[str]) -> DataFrame:
+    """Neighbouring words of one text, none of them a stop word: field, a, b."""
     after = F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0)))
     pairs = F.arrays_zip(F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))).alias("a"), after.alias("b"))
     each = long.select("field", F.explode(pairs).alias("pair")).select("field", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"))
-    each = each.where(_told(F.col("a"), stop_words) & _told(F.col("b"), stop_words))
-    return each.groupBy("field", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return each.where(_told(F.col("a"), stop_words) & _told(F.col("b"), stop_words))
 
 
 def word_frequency(df: DataFrame, columns: list[str], stop_words: list[str], k: int = TOP_WORDS) -> DataFrame:
@@ -58,17 +57,35 @@ def word_frequency(df: DataFrame, columns: list[str], stop_words: list[str], k:
 
 def bigram_frequency(df: DataFrame, columns: list[str], stop_words: list[str], k: int = TOP_WORDS) -> DataFrame:
     """The k most frequent pairs of neighbouring words of one text, none of them a stop word."""
-    counts = _pair_counts(_long(df, columns), stop_words)
+    counts = _pairs(_long(df, columns), stop_words).groupBy("field", "a", "b").agg(F.count(F.lit(1)).alias("n"))
     return _top(counts.select("field", F.concat_ws(" ", "a", "b").alias("bigram"), "n"), "bigram", k)
 
 
-def _folded(counts: DataFrame, unit: str) -> DataFrame:
-    """Adds `standard`: a word in -s counts as the word without it, if that occurs in the field as well; -ss stays."""
-    plural = F.col(unit).endswith("s") & ~F.col(unit).endswith("ss")
-    singular = F.expr(f"left({unit}, length({unit}) - 1)")
-    known = counts.select(F.col("field").alias("_field"), F.col(unit).alias("_unit"))
-    met = counts.join(known, plural & (F.col("field") == F.col("_field")) & (singular == F.col("_unit")), "left")
-    return met.select(*counts.columns, F.coalesce("_unit", unit).alias("standard"))
+def _stem(word: Column) -> Column:
+    """A word in -s without it; -ss stays. No more than a word and its plural share a stem."""
+    return F.when(word.endswith("s") & ~word.endswith("ss"), F.left(word, F.length(word) - 1)).otherwise(word)
+
+
+def _standard(stem: Column, singular: Column) -> Column:
+    """The form that a word and its plural count as: the singular, if it occurs in the field, else the plural itself."""
+    return F.when(singular > 0, stem).otherwise(F.concat(stem, F.lit("s")))
+
+
+def _folded(counts: DataFrame) -> DataFrame:
+    """Words with their plurals, from field, word, n: field, standard, n, and the words that count as the standard form."""
+    stems = counts.withColumn("stem", _stem(F.col("word"))).groupBy("field", "stem").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("word") == F.col("stem"), F.col("n")).otherwise(0)).alias("singular")
+    )
+    plural = F.when(F.col("n") > F.col("singular"), F.concat("stem", F.lit("s")))
+    words_ = F.array_compact(F.array(F.when(F.col("singular") > 0, F.col("stem")), plural))
+    return stems.select("field", _standard(F.col("stem"), F.col("singular")).alias("standard"), "n", words_.alias("words"))
+
+
+def _folded_pairs(long: DataFrame, stop_words: list[str]) -> DataFrame:
+    """Pairs counted with the plural of their second word: field, a, b, n."""
+    each = _pairs(long, stop_words).withColumn("stem", _stem(F.col("b")))
+    stems = each.groupBy("field", "a", "stem").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("b") == F.col("stem")).alias("singular"))
+    return stems.select("field", "a", _standard(F.col("stem"), F.col("singular")).alias("b"), "n")
 
 
 def _log_likelihood(k: Column, n: Column, x: Column) -> Column:
@@ -96,14 +113,10 @@ def collocations(df: DataFrame, columns: list[str], stop_words: list[str], thres
     standard forms, n the pair's count.
     """
     long = _long(df, columns)
-    words_, pairs = _folded(_word_counts(long, stop_words), "word"), _pair_counts(long, stop_words)
-    counts = words_.groupBy("field", "standard").agg(F.sum("n").alias("n"))
+    counts = _word_counts(long, stop_words)
     total = counts.groupBy("field").agg(F.sum("n").alias("total"))
-    forms = words_.select("field", "word", "standard").join(counts, ["field", "standard"])
-    named = _folded(pairs.withColumn("pair", F.concat_ws(" ", "a", "b")), "pair")
-    folded = named.groupBy("field", "standard").agg(F.sum("n").alias("n"))
-    halves = F.split("standard", " ")
-    folded = folded.select("field", halves[0].alias("a"), halves[1].alias("b"), "n")
+    forms = _folded(counts).select("field", "standard", "n", F.explode("words").alias("word"))
+    folded = _folded_pairs(long, stop_words)
     for side in ("a", "b"):
         own = forms.select("field", F.col("word").alias(side), F.col("standard").alias(f"{side}_word"), F.col("n").alias(f"{side}_n"))
         folded = folded.join(own, ["field", side])
@@ -116,7 +129,7 @@ def word_and_collocation_frequency(df: DataFrame, columns: list[str], stop_words
 
     Plurals count with their singular, and a word's count is without its occurrences in collocations.
     """
-    counted = _folded(_word_counts(_long(df, columns), stop_words), "word").groupBy("field", "standard").agg(F.sum("n").alias("n"))
+    counted = _folded(_word_counts(_long(df, columns), stop_words)).drop("words")
     pairs = collocations(df, columns, stop_words, threshold)
     taken = pairs.select("field", F.explode(F.array("a_word", "b_word")).alias("standard"), "n").groupBy("field", "standard").agg(F.sum("n").alias("taken"))
     left = counted.join(taken, ["field", "standard"], "left").withColumn("n", F.col("n") - F.coalesce("taken", F.lit(0)))

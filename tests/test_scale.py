@@ -4,10 +4,11 @@ import math
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
-from tallyshelf.operators import neighbours, postings, tfidf
+from checks import bindings
+from tallyshelf.operators import neighbours, postings, tfidf, wordcounts
 from tallyshelf.session import fresh_path
+from tallyshelf.sources import keyed
 
 
 def plan_of(df):
@@ -52,3 +53,41 @@ def test_requests_meet_posting_lists_without_moved_products(spark, monkeypatch,
     expected = nearest_by_hand(TEXTS, [i for i, _ in TEXTS if i % 2], 4)
     assert [tuple(r) for r in near.select("id", "neighbour", "similarity", "place").orderBy("id", "place").collect()] == [(a, b, pytest.approx(s, abs=2e-6), p) for a, b, s, p in expected]
     assert "FlatMapCoGroupsInArrow" in plan_of(near)
+
+
+def test_collocations_fold_plurals_without_joins(spark):
+    texts = ["blue gizmos"] * 12 + ["blue gizmo"] * 8 + ["old glass"] * 9 + ["red cars"] * 7 + ["some other words here and there"] * 30
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = wordcounts.collocations(df, ["text"], ["and"])
+    got = {(r["a"], r["b"]): (r["a_word"], r["b_word"], r["n"]) for r in found.collect()}
+    assert got[("blue", "gizmo")] == ("blue", "gizmo", 20)
+    assert got[("old", "glass")] == ("old", "glass", 9)
+    assert got[("red", "cars")] == ("red", "cars", 7)
+    optimized = found._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("Join ") == 3  # two words and the total
+
+
+def test_term_weights_are_counted_in_parts_of_their_size(spark, monkeypatch):
+    rows = [(i, f"one two w{i % 5} w{i % 5}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    whole = sorted(tuple(r) for r in tfidf.tfidf_vectors(docs).collect())
+    monkeypatch.setattr(tfidf, "PART", 64)
+    vectors = tfidf.tfidf_vectors(docs)
+    got = sorted(tuple(r) for r in vectors.collect())
+    assert [r[:3] for r in got] == [r[:3] for r in whole]
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in whole])
+    size = sum(len(text) for _, text in rows)
+    assert f", {1 + size // 64})" in plan_of(vectors)
+
+
+def test_ranges_of_text_keys_are_found_without_a_sort_of_the_rows(spark):
+    rows = spark.createDataFrame([(None, "f"), ("b", "f"), ("a", "f"), ("ä", "g"), ("z", "g"), (None, "h")], "key string, file string")
+    found = keyed._ranges(rows.repartition(3))
+    assert sorted(map(tuple, found.collect())) == [("f", "a", "b"), ("g", "z", "ä"), ("h", None, None)]
+    assert "MapInArrow" in plan_of(found)
+
+
+def test_catalogue_lines_are_dealt_over_all_cores(spark, sf):
+    lines = bindings.game_lines(spark, sf)
+    assert f"RoundRobinPartitioning({spark.sparkContext.defaultParallelism})" in plan_of(lines)
+    assert lines.count() == bindings.table(spark, sf, "part").count()
