@@ -28,8 +28,8 @@ def text_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def games_raw(spark: SparkSession, sf: str) -> DataFrame:
-    """Catalogue rows with every scalar as text, from `part`."""
-    return table(spark, sf, "part").selectExpr(
+    """Catalogue rows with every scalar as text, from `part`, dealt out over all cores as in `text_table`."""
+    return table(spark, sf, "part").repartition(spark.sparkContext.defaultParallelism).selectExpr(
         "string(p_partkey) AS id",
         "CASE WHEN p_partkey % 13 <> 0 THEN p_name END AS app_name",
         "CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 19 = 0 THEN p_name || ' true NaN' ELSE p_name END AS title",
