@@ -147,6 +147,17 @@ def test_near_duplicates_of_odd_rows(table):
     assert sorted(r.kept for r in twice) == [False, False, True]
 
 
+def test_near_duplicates_start_no_python_workers_for_empty_tables(table, monkeypatch):
+    rows = [(1, text(1, 60)), (2, text(1, 60) + " x"), (3, text(2, 60))]
+    docs = table(DOC, rows)
+
+    def refused(*args, **kwargs):
+        raise AssertionError("a table from the driver")
+
+    monkeypatch.setattr(type(docs.sparkSession), "createDataFrame", refused)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_negative_ids_stay_what_they_are(table):
     got = near_dedup.near_duplicates(table(DOC, [(-1, "a b c"), (3, "a b c"), (0, "x y z"), (None, "x y z"), (-2, None)])).collect()
     assert Counter((r.doc_id, r.class_id, r.kept) for r in got) == Counter({(-1, -1, True): 1, (3, -1, False): 1, (0, None, False): 1, (None, None, True): 1, (-2, -2, True): 1})

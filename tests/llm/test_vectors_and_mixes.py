@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyshelf.llm import mixing, norm_search, packing
+from tallyshelf.llm.common import slices
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 VEC = "vec_id long, embedding array<float>"
@@ -102,6 +104,18 @@ def packed_well(rows, length):
     return len(by)
 
 
+def test_a_worker_encodes_little_text_at_once():
+    texts = pa.array([" ".join(f"w{(i * 7919 + k) % 3000}" for k in range(400)) for i in range(6000)])  # 13 MB
+    encoder = packing.WordEncoder(WORD_BPE)
+    tracemalloc.start()
+    try:
+        counts = [encoder(part.column("text"))[1] for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", packing.BATCH)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(map(len, counts)) == len(texts) and peak < 150e6, peak
+
+
 def test_packing_places_every_piece_once_in_few_sequences(spark):
     r = random.Random(2)
     rows = [(i, 0, 0, r.choice([r.randrange(1, 100), r.randrange(1, 20), 100]), i) for i in range(3000)]
