@@ -8,7 +8,7 @@ import pytest
 from checks import bindings
 from tallyshelf.operators import neighbours, postings, tfidf, wordcounts
 from tallyshelf.session import fresh_path
-from tallyshelf.sources import keyed
+from tallyshelf.sources import files, keyed
 
 
 def plan_of(df):
@@ -91,3 +91,22 @@ def test_catalogue_lines_are_dealt_over_all_cores(spark, sf):
     lines = bindings.game_lines(spark, sf)
     assert f"RoundRobinPartitioning({spark.sparkContext.defaultParallelism})" in plan_of(lines)
     assert lines.count() == bindings.table(spark, sf, "part").count()
+
+
+def test_weights_are_moved_packed_and_once(spark):
+    docs = spark.createDataFrame(TEXTS, "id long, text string")
+    vectors = tfidf.tfidf_vectors(docs)
+    assert "Generate" not in plan_of(vectors) and "SortMergeJoin" not in plan_of(vectors)
+    near = neighbours.nearest_to(docs.select("id"), files.stored(vectors, "vectors"), docs.select("id").where("id % 2 = 1"), 4)
+    assert "sequence(" not in plan_of(near)  # no copies for blocks
+    moved = near._jdf.queryExecution().toString().split("MapInArrow pack")[0]
+    assert "Exchange hashpartitioning(_d" in moved
+
+
+def test_repeated_and_missing_ids_are_weighed_as_one_document(spark):
+    rows = [(1, "a1 a1 b1"), (1, "b1 c1"), (None, "a1"), (None, "d1 a1"), (2, "a1 zz"), (3, None)]
+    got = {(r["id"], r["term"]): (r["df"], r["weight"]) for r in tfidf.tfidf_vectors(spark.createDataFrame(rows, "id long, text string").repartition(3)).collect()}
+    counts = {1: {"a1": 2, "b1": 2, "c1": 1}, None: {"a1": 2, "d1": 1}, 2: {"a1": 1, "zz": 1}}
+    df = {"a1": 4, "b1": 2, "c1": 1, "d1": 1, "zz": 1}
+    raw = {i: {t: n * (math.log(7 / (df[t] + 1)) + 1) for t, n in c.items()} for i, c in counts.items()}
+    assert got == {(i, t): (df[t], pytest.approx(w / math.sqrt(sum(x * x for x in c.values())))) for i, c in raw.items() for t, w in c.items()}
