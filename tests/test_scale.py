@@ -109,3 +109,12 @@ def test_repeated_and_missing_ids_are_weighed_as_one_document(spark):
     df = {"a1": 4, "b1": 2, "c1": 1, "d1": 1, "zz": 1}
     raw = {i: {t: n * (math.log(7 / (df[t] + 1)) + 1) for t, n in c.items()} for i, c in counts.items()}
     assert got == {(i, t): (df[t], pytest.approx(w / math.sqrt(sum(x * x for x in c.values())))) for i, c in raw.items() for t, w in c.items()}
+
+
+def test_lists_meet_requests_packed(spark):
+    docs, path = spark.createDataFrame(TEXTS, "id long, text string"), fresh_path(spark, "postings")
+    postings.write_postings(tfidf.tfidf_vectors(docs), path)
+    wanted = docs.select("id").where("id % 2 = 1")
+    plan = plan_of(postings.nearest_by_postings(spark, path, docs.select("id"), wanted, 4))
+    assert "MapInArrow split" in plan and "inline" not in plan  # no row per entry is moved
+    assert "left_semi" not in plan and "LeftSemi" not in plan  # the requests' terms are found once, not for each use
